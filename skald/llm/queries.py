@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..common import read_table
-from . import spans
+from . import leakage, spans
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found,)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p9_found)}
 
 SQL: dict[str, str] = {}
