@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..common import read_table
-from . import leakage, spans
+from . import leakage, neighbours, spans
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, d, "documents"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.close_pairs(neighbours.message_vectors(read_table(spark, d, "messages")))
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose seq is divisible by 100, asked against all rows."""
+    found = neighbours.top_neighbours(neighbours.message_vectors(read_table(spark, d, "messages")), queries=lambda n: n % 100 == 0)
+    return found.select(F.col("q").alias("seq"), F.col("rank").cast("long").alias("rank"), F.col("s").alias("neighbour"), F.col("similarity").cast("double").alias("similarity"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p8_found, p9_found)}
 
 SQL: dict[str, str] = {}

@@ -223,8 +223,8 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
                 yield pd.DataFrame({"w": p.digests(at, at + min_chars).view(np.int64), "u": np.asarray(ids, np.int64)[k], "at": at - p.starts[k]})
 
     found = flagged.mapInPandas(windows, "w bigint, u bigint, at bigint").repartition("w")
-    both = found.groupBy("w").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b").select("w")
-    # one exchange on w serves the aggregate and this join
+    # one exchange on w serves the aggregate and the join; the filter on at keeps the two plans alike
+    both = found.groupBy("w").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.max("at").alias("c")).filter("a <> b and c >= 0").select("w")
     marked = found.join(both.hint("shuffle_hash"), "w", "left_semi").select("u", "at")
     from pyspark.sql import Window as W
 
