@@ -147,10 +147,13 @@ def superseded_deliveries(messages: DataFrame) -> DataFrame:
     return lost.select("id", "seq")
 
 
+def losing_deliveries(messages: DataFrame) -> DataFrame:
+    """(id, seq) of the rows that lost, taken in one pass over id and seq: the same rows as the store's, for queries that need them as a filter."""
+    named = messages.select("id", "seq").filter("id != ''")
+    best = named.groupBy("id").agg(F.min("seq").alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+    return named.join(best, "id").filter("seq > _best").select("id", "seq")
+
+
 def single_deliveries(messages: DataFrame) -> DataFrame:
-    """messages without the rows that lost against an earlier delivery of the same id: the same winners as the store's, taken in one pass, for
-    queries that need whole rows. Rows without id stay."""
-    named = messages.filter("id != ''")
-    best = named.groupBy("id").agg(F.min("seq").alias("seq"), F.count("*").alias("_n")).filter("_n > 1")
-    lost = named.select("id", "seq").join(best.select("id", F.col("seq").alias("_best")), "id").filter("seq > _best").select("seq")
-    return messages.join(lost, "seq", "left_anti")
+    """messages without the rows that lost against an earlier delivery of the same id. Rows without id stay."""
+    return messages.join(losing_deliveries(messages).select("seq"), "seq", "left_anti")
