@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import read_table
-from . import leakage, neighbours, spans
+from . import conversations, leakage, neighbours, packing, spans
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, d, "documents"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(read_table(spark, d, "messages"), read_table(spark, d, "sessions"))
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.with_turns(read_table(spark, d, "messages"), p2_found(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(neighbours.message_vectors(read_table(spark, d, "messages")))
 
@@ -23,10 +31,18 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("q").alias("seq"), F.col("rank").cast("long").alias("rank"), F.col("s").alias("neighbour"), F.col("similarity").cast("double").alias("similarity"))
 
 
+def p7_frames(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read_table(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.frame_report(packing.pack(read_table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_neighbours, p7_frames, p7_report, p8_found, p9_found)}
 
 SQL: dict[str, str] = {}
