@@ -3,8 +3,9 @@
 Fitting, on at most SAMPLE_ROWS vectors chosen by a hash of their number: the sample's neighbour graph is cut into
 balanced parts (median splits along random directions, then label propagation that moves vectors to the part of most of their neighbours while
 parts have room), and a classifier with one hidden layer learns which parts hold a vector's neighbours. How many of its most
-probable parts a query visits is calibrated on the sample: the fewest for which TARGET_RECALL of the true neighbours, or of twins
-moved away down to the similarity floor, lie in visited parts.
+probable parts a query visits is calibrated on the sample: the fewest for which TARGET_RECALL of the true neighbours lie in visited parts.
+With a similarity floor, pairs that are just so similar are made up from the sample, and it is enough that one of the two visits the other, as
+what one finds the other then knows as well.
 
 Searching: every row is indexed in its most probable part, and sent as a query to its further probable parts. Parts are cut into
 cells of bounded numbers of rows and of queries, each scored by one matrix product; a query's results from its cells are ranked
@@ -114,7 +115,11 @@ class Router:
             asked = asked[:500]
         home = self.route(twins.reshape(-1, sample.shape[1]), 1).reshape(twins.shape[:2])
         place = np.argsort(np.argsort(-self.scores(asked), axis=1), axis=1)
-        needed = np.sort(np.take_along_axis(place, home.astype(np.int64), 1).ravel()) + 1
+        needed = np.take_along_axis(place, home.astype(np.int64), 1).ravel() + 1
+        if floor is not None:  # such a pair is found if either of the two visits the other
+            back = np.argsort(np.argsort(-self.scores(twins[:, 0]), axis=1), axis=1)
+            needed = np.minimum(needed, back[np.arange(len(asked)), self.route(asked, 1)[:, 0]] + 1)
+        needed = np.sort(needed)
         return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)])
 
 
@@ -227,12 +232,19 @@ def top_neighbours(vectors: DataFrame, k: int = 10, dims: int = 64, floor: float
     keys = rows.select("n", F.xxhash64("v").alias("h"))
     copies = cut(keys.groupBy("h").agg(F.min("n").alias("r"), F.count("*").alias("c")).filter("c > 1"))
     total = rows.count()
+
+    def look(rows: DataFrame, queries) -> DataFrame:
+        found = _search(rows, total, k, dims, floor, queries, target, part_rows)
+        if floor is not None and queries is None:  # what one of a pair finds, the other knows as well
+            found = found.unionByName(found.select(F.col("s").alias("q"), F.col("q").alias("s"), "similarity")).groupBy("q", "s").agg(F.max("similarity").alias("similarity"))
+        return _rank(found, k)
+
     if copies.isEmpty():
-        return _rank(_search(rows, total, k, dims, floor, queries, target, part_rows), k)
+        return look(rows, queries)
     members = cut(keys.join(copies, "h").select("n", "r").distinct())
     distinct = rows.join(members.filter("n <> r").select("n"), "n", "left_anti")
     # queries may be later copies only, so their first copy asks for them; answers of others are dropped at the end
-    found = cut(_rank(_search(distinct, total, k, dims, floor, None, target, part_rows), k))
+    found = cut(look(distinct, None))
     w = W.partitionBy("r").orderBy("n")
     firsts = cut(members.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k + 1).select("r", "n"))
     known = members.select("r").distinct()
