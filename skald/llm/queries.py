@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import read_table
-from . import conversations, leakage, neighbours, packing, spans
+from . import conversations, leakage, neighbours, packing, pii, spans
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,14 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("q").alias("seq"), F.col("rank").cast("long").alias("rank"), F.col("s").alias("neighbour"), F.col("similarity").cast("double").alias("similarity"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_details(read_table(spark, d, "messages"), read_table(spark, d, "person_names")).select("seq", "kind", "value").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(read_table(spark, d, "messages"), read_table(spark, d, "person_names"))
+
+
 def p7_frames(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read_table(spark, d, "documents"))
 
@@ -43,6 +51,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_neighbours, p7_frames, p7_report, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_neighbours, p6_found, p6_redacted, p7_frames, p7_report, p8_found, p9_found)}
 
 SQL: dict[str, str] = {}
