@@ -53,4 +53,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_neighbours, p6_found, p6_redacted, p7_frames, p7_report, p8_found, p9_found)}
 
-SQL: dict[str, str] = {}
+FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM messages) x WHERE id IS NULL OR id = '' OR k = 1)"
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH v AS (SELECT seq, embedding::DOUBLE[] AS e FROM {FIRST} m WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+      s AS (SELECT a.seq AS a, b.seq AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.seq <> b.seq WHERE list_cosine_similarity(a.e, b.e) >= 0.87),
+      t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+      SELECT DISTINCT least(a, b) AS seq_a, greatest(a, b) AS seq_b FROM t WHERE k <= 10""",
+    "p8_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+      g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM w) x),
+      q AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+      h AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM q) x)
+      SELECT DISTINCT doc_id, item_id FROM g JOIN h ON g.g = h.g""",
+}
