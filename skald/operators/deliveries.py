@@ -7,7 +7,7 @@ those partitions, and commits by renaming one manifest file: readers see all of
 
 The row with the smallest order value wins; exact repeats of the winner collapse to one row. Defined results: a null or empty
 identifier identifies nothing, each such row stays; a null order loses to any other; an empty batch changes nothing; extra
-columns pass through, and columns named like the store's own (kept, p) are refused.
+columns pass through, whatever their names: a row is stored as one struct beside the store's own columns.
 
 Scale: the winners' table is pre-aggregated before its shuffle, and rows meet it on (identifier, order), so a
 hot identifier spreads over all tasks. The driver holds partition names only, whose number the partition expression bounds.
@@ -28,7 +28,7 @@ _LAST = 2**63 - 1
 class DeliveryStore:
     def __init__(self, spark: SparkSession, path: str, key: str = "id", order: str = "seq", partition: Column | None = None):
         self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
-        self.partition = F.coalesce((partition if partition is not None else F.lit("all")).cast("string"), F.lit("none"))
+        self.partition = F.coalesce(F.nullif((partition if partition is not None else F.lit("all")).cast("string"), F.lit("")), F.lit("none"))
 
     def manifest(self) -> dict:
         names = [int(n[:-5]) for n in list_names(self.spark, f"{self.path}/_manifest") if n.endswith(".json")]
@@ -43,12 +43,12 @@ class DeliveryStore:
         """The current rows, of all or of the named partitions."""
         state = self.manifest()["rows"]
         paths = [f"{self._version(v)}/kept=true/p={_escape(p)}" for p, v in sorted(state.items()) if partitions is None or p in partitions]
-        return self.spark.read.parquet(*paths) if paths else None
+        return self.spark.read.parquet(*paths).select("row.*") if paths else None
 
     def superseded(self) -> DataFrame | None:
         """Every delivery that lost, once."""
         paths = [f"{self._version(v)}/kept=false/*" for v in self.manifest()["superseded"]]
-        return self.spark.read.parquet(*paths) if paths else None
+        return self.spark.read.parquet(*paths).select("row.*") if paths else None
 
     def index(self) -> DataFrame | None:
         """(key, p): the partition that holds the key's winner; later versions replace earlier ones."""
@@ -62,43 +62,40 @@ class DeliveryStore:
 
     def merge(self, batch: DataFrame) -> dict:
         """Takes in a batch of deliveries; gives the new manifest."""
-        if {"kept", "p"} & set(batch.columns):
-            raise ValueError("columns kept and p belong to the store")
         spark, old = self.spark, self.manifest()
         version = old["version"] + 1
         key = F.when(F.col(self.key) != "", F.col(self.key).cast("string"))
+        rank = F.coalesce(F.col(self.order).cast("long"), F.lit(_LAST))
+
+        def opened(rows: DataFrame) -> DataFrame:
+            return rows.select(F.struct("*").alias("row"), self.partition.alias("p"), key.alias("k"), rank.alias("o"))
+
+        arriving = opened(batch)
         # 1. which historical partitions hold identifiers of this batch
         hit: list[str] = []
         index = self.index()
         if index is not None:
-            arriving = batch.select(key.alias("k")).filter("k is not null").distinct()
-            hit = [r[0] for r in index.join(arriving, "k", "left_semi").select("p").distinct().collect()]  # bounded by the number of partitions
+            ids = arriving.select("k").filter("k is not null").distinct()
+            hit = [r[0] for r in index.join(ids, "k", "left_semi").select("p").distinct().collect()]  # bounded by the number of partitions
         # 2. history of those partitions and the batch together, each row with whether it wins
-        target = self.partition
-        rows = batch.withColumn("p", target).withColumn("_new", F.lit(True))
         history = self.winners(hit) if hit else None
-        if history is not None:
-            rows = rows.unionByName(history.withColumn("p", target).withColumn("_new", F.lit(False)))
-        rows = rows.withColumn("_k", key).withColumn("_o", F.coalesce(F.col(self.order).cast("long"), F.lit(_LAST)))
-        best = rows.filter("_k is not null").groupBy("_k").agg(F.min("_o").alias("_o")).withColumn("_best", F.lit(True))
-        named = rows.filter("_k is not null").join(best, ["_k", "_o"], "left")
-        kept = named.filter("_best").drop("_best").dropDuplicates(["_k", "_o"]).withColumn("kept", F.lit(True))
-        lost = named.filter("_best is null").drop("_best").withColumn("kept", F.lit(False))
-        flagged = kept.unionByName(lost).unionByName(rows.filter("_k is null").withColumn("kept", F.lit(True)))
-        # 3. partitions that only gain rows are appended to by carrying their old rows over as well
-        gains = {r[0] for r in batch.select(target.alias("p")).distinct().collect()}
+        rows = arriving if history is None else arriving.unionByName(opened(history))
+        best = rows.filter("k is not null").groupBy("k").agg(F.min("o").alias("o")).withColumn("best", F.lit(True))
+        named = rows.filter("k is not null").join(best, ["k", "o"], "left")
+        kept = named.filter("best").dropDuplicates(["k", "o"]).select("row", "p", F.lit(True).alias("kept"))
+        lost = named.filter("best is null").select("row", "p", F.lit(False).alias("kept"))
+        flagged = kept.unionByName(lost).unionByName(rows.filter("k is null").select("row", "p", F.lit(True).alias("kept")))
+        # 3. partitions that only gain rows take their old ones along
+        gains = {r[0] for r in arriving.select("p").distinct().collect()}  # bounded by the number of partitions
         extra = sorted((gains - set(hit)) & set(old["rows"]))
         if extra:
-            carried = self.winners(extra).withColumn("p", target)
-            flagged = flagged.drop("_new", "_k", "_o").unionByName(carried.withColumn("kept", F.lit(True)))
-        else:
-            flagged = flagged.drop("_new", "_k", "_o")
+            flagged = flagged.unionByName(opened(self.winners(extra)).select("row", "p", F.lit(True).alias("kept")))
         flagged.write.partitionBy("kept", "p").parquet(self._version(version))
         written = _partitions(spark, f"{self._version(version)}/kept=true")
         # 4. the index learns where this version's winners are
         if written:
-            now = spark.read.parquet(*[f"{self._version(version)}/kept=true/p={_escape(p)}" for p in written])
-            now.select(key.alias("k"), target.alias("p")).filter("k is not null").write.parquet(f"{self.path}/index/v={version}")
+            now = opened(spark.read.parquet(*[f"{self._version(version)}/kept=true/p={_escape(p)}" for p in written]).select("row.*"))
+            now.select("k", "p").filter("k is not null").write.parquet(f"{self.path}/index/v={version}")
         touched = set(hit) | gains
         state = {
             "version": version,
@@ -111,9 +108,8 @@ class DeliveryStore:
 
 
 def _escape(p: str) -> str:
-    from urllib.parse import quote
-
-    return quote(p, safe="-_. ")
+    """As Spark writes a partition's folder."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in p)
 
 
 def _partitions(spark: SparkSession, path: str) -> list[str]:

@@ -344,7 +344,7 @@ _CALL = "json_type({x}, '$.name') = 'VARCHAR' AND json_type({x}, '$.input') = 'O
 
 @query(
     sql=f"""SELECT line_id, j->>'$.id' AS id, j->>'$.role' AS role, j->>'$.content' AS content, j->>'$.timestamp' AS timestamp
-    FROM (SELECT line_id, CASE WHEN json_valid(raw) THEN raw::JSON END AS j FROM raw_lines WHERE fmt = 'jsonl') x
+    FROM (SELECT line_id, CASE WHEN json_valid(raw) AND NOT regexp_matches(regexp_replace(raw, '"([^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]') THEN raw::JSON END AS j FROM raw_lines WHERE fmt = 'jsonl') x
     WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.id') = 'VARCHAR' AND json_type(j, '$.content') = 'VARCHAR' AND json_type(j, '$.timestamp') = 'VARCHAR'
       AND json_type(j, '$.role') = 'VARCHAR' AND j->>'$.role' IN ('system', 'user', 'assistant', 'tool') AND {_OPTIONAL_TEXT}
       AND (json_type(j, '$.toolCall') IS NULL OR coalesce({_CALL.format(x="j->'$.toolCall'")}, FALSE))

@@ -25,8 +25,12 @@ def _allow_repeats(spark: SparkSession) -> None:
 def validate(lines: DataFrame) -> DataFrame:
     """Rows of `lines` (value STRING and anything else) that hold a message, with its fields added."""
     _allow_repeats(lines.sparkSession)
-    v = F.try_parse_json("value")
-    rows = lines.filter(F.length(trim(F.col("value"))) > 0).withColumn("_v", v)
+    # the parser stops after the first value; a second one of ours shows whether anything stood between
+    pair = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("\n,0]")))
+    rows = lines.filter(F.length(trim(F.col("value"))) > 0).withColumn("_p", pair)
+    p = F.col("_p")
+    alone = F.coalesce(F.try_variant_get(p, "$[1]", "int") == 0, F.lit(False)) & F.schema_of_variant(F.try_variant_get(p, "$[2]", "variant")).isNull()
+    rows = rows.filter(alone).withColumn("_v", F.try_variant_get(p, "$[0]", "variant")).drop("_p")
     v = F.col("_v")
     text = lambda k: F.coalesce(_type(v, f"$.{k}") == "STRING", F.lit(False))
     absent_or = lambda k, ok: F.coalesce(ok, _type(v, f"$.{k}").isNull())
