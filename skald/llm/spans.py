@@ -13,9 +13,9 @@ whole chunk that both copies cut alike: no span can be lost.
 
 Exact copies of a text are one text with several records until the end, where all of a copied text counts as shared.
 
-Defined results: null texts and texts shorter than min_chars share nothing; repeats within one record don't count; repeated doc_ids
-are records of their own only if their texts differ; extra columns are ignored. Scale: digests and window hashes are pre-aggregated (smallest and largest
-text per key) before their shuffle, so boilerplate costs one row per task; shared digests reach the tasks as a broadcast only
+Defined results: null texts and texts shorter than min_chars share nothing; repeats within one record don't count; rows of one doc_id
+are one record; extra columns are ignored. Scale: digests and window hashes are pre-aggregated per piece of PIECE code points
+before their shuffle: what texts of one piece share is settled there, so boilerplate costs a row or two per piece; shared digests reach the tasks as a broadcast only
 while their number is within MAX_BROADCAST, else through a join.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import cut, spread
@@ -32,6 +33,7 @@ MIN_CHARS = 300
 GEAR = 32
 MAX_BROADCAST = 4_000_000
 PIECE = 2_000_000
+SETTLED, KNOWN, OPEN = 0, 1, 2
 
 
 def cut_window(min_chars: int) -> int:
@@ -71,6 +73,17 @@ def _tables(n: int):
     return _TABLES["gear"], _TABLES["up"], _TABLES["down"]
 
 
+def extremes(keys, owners):
+    """Distinct keys, smallest and largest owner of each, and the place of each row's key among them."""
+    import numpy as np
+
+    values, place = np.unique(keys, return_inverse=True)
+    low, high = np.full(len(values), np.iinfo(np.int64).max), np.full(len(values), np.iinfo(np.int64).min)
+    np.minimum.at(low, place, owners)
+    np.maximum.at(high, place, owners)
+    return values, low, high, place
+
+
 class Pieces:
     """Several texts end to end: cuts, chunks and window hashes."""
 
@@ -165,15 +178,19 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
     extra = later.filter("doc_id <> u").select("doc_id")
     texts = spread(records).select(F.col("doc_id").alias("u"), "text").join(extra.withColumnRenamed("doc_id", "u"), "u", "left_anti") if not extra.isEmpty() else spread(records).select(F.col("doc_id").alias("u"), "text")
 
-    def chunks(batches: Iterator) -> Iterator:
+    def chunks(batches: Iterator, every: bool = False) -> Iterator:
         import numpy as np
         import pandas as pd
 
         for ids, group in _grouped(batches):
             p = Pieces(group, window)
-            d = p.digests(p.begin, p.end).view(np.int64)
-            pair = pd.DataFrame({"d": d, "u": np.asarray(ids, np.int64)[p.owner]})
-            yield pair.drop_duplicates()
+            d, u = p.digests(p.begin, p.end).view(np.int64), np.asarray(ids, np.int64)[p.owner]
+            if every:
+                yield pd.DataFrame({"d": d, "u": u})
+                continue
+            values, low, high, _ = extremes(d, u)
+            several = low != high
+            yield pd.DataFrame({"d": np.concatenate([values, values[several]]), "u": np.concatenate([low, high[several]])})
 
     pairs = texts.mapInPandas(chunks, "d bigint, u bigint")
     shared = cut(pairs.groupBy("d").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b").select("d"))
@@ -190,7 +207,8 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
             at[at == len(known.value)] = 0
             return known.value[at] == d if len(known.value) else np.zeros(len(d), bool)
     else:
-        marks = pairs.join(shared, "d", "left_semi").groupBy("u").agg(F.collect_set("d").alias("marks"))  # as many as the text has chunks
+        every = texts.mapInPandas(lambda b: chunks(b, True), "d bigint, u bigint")
+        marks = every.join(shared, "d", "left_semi").groupBy("u").agg(F.collect_set("d").alias("marks"))  # as many as the text has chunks
         flagged = texts.join(marks, "u")
 
         def flags(p: Pieces, marks):
@@ -218,17 +236,38 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
             p = Pieces(group, window)
             marks, held[:] = held[: len(ids)], held[len(ids) :]
             at = candidate_windows(p, flags(p, marks), min_chars, window)
-            if len(at):
-                k = np.searchsorted(p.starts, at, side="right") - 1
-                yield pd.DataFrame({"w": p.digests(at, at + min_chars).view(np.int64), "u": np.asarray(ids, np.int64)[k], "at": at - p.starts[k]})
-
-    found = flagged.mapInPandas(windows, "w bigint, u bigint, at bigint").repartition("w")
-    # one exchange on w serves the aggregate and the join; the filter on at keeps the two plans alike
-    both = found.groupBy("w").agg(F.min("u").alias("a"), F.max("u").alias("b"), F.max("at").alias("c")).filter("a <> b and c >= 0").select("w")
-    marked = found.join(both.hint("shuffle_hash"), "w", "left_semi").select("u", "at")
-    from pyspark.sql import Window as W
-
-    upto = F.lead("at").over(W.partitionBy("u").orderBy("at")) - F.col("at")
-    counted = marked.select("u", F.least(F.lit(min_chars), F.coalesce(upto, F.lit(min_chars))).alias("c")).groupBy("u").agg(F.sum("c").alias("c"))
+            if not len(at):
+                continue
+            k = np.searchsorted(p.starts, at, side="right") - 1
+            w = p.digests(at, at + min_chars).view(np.int64)
+            values, low, high, place = extremes(w, k)
+            several = low != high
+            done = several[place]
+            # what two texts of this piece share is settled here, as few stretches; one row tells other pieces of the window
+            first = np.flatnonzero(done & (np.concatenate([[True], ~done[:-1]]) | np.concatenate([[True], (np.diff(at) > 1) | (np.diff(k) > 0)])))
+            last = np.flatnonzero(done & (np.concatenate([~done[1:], [True]]) | np.concatenate([(np.diff(at) > 1) | (np.diff(k) > 0), [True]])))
+            u = np.asarray(ids, np.int64)
+            begin, end = at - p.starts[k], at - p.starts[k] + min_chars
+            known_w, open_ = values[several], ~done
+            stretch = _mix((u[k[first]].astype(np.uint64) << np.uint64(24)) + begin[first].astype(np.uint64)).view(np.int64)
+            kinds = np.repeat([SETTLED, KNOWN, OPEN], [len(first), len(known_w), int(open_.sum())])
+            yield pd.DataFrame(
+                {
+                    "w": np.concatenate([stretch, known_w, w[open_]]),
+                    "kind": kinds.astype(np.int8),
+                    "u": np.concatenate([u[k[first]], u[low[several]], u[k[open_]]]),
+                    "begin": np.concatenate([begin[first], np.zeros(len(known_w), np.int64), begin[open_]]),
+                    "end": np.concatenate([end[last], np.zeros(len(known_w), np.int64), end[open_]]),
+                }
+            )
+
+    found = flagged.mapInPandas(windows, "w bigint, kind tinyint, u bigint, begin bigint, end bigint")
+    # a window comes with one row per piece of text at most, whatever the number of records that share it
+    same = W.partitionBy("w")
+    seen = found.withColumns({"a": F.min("u").over(same), "b": F.max("u").over(same), "known": F.max((F.col("kind") == KNOWN).cast("int")).over(same)})
+    marked = seen.filter((F.col("kind") == SETTLED) | ((F.col("kind") == OPEN) & ((F.col("a") != F.col("b")) | (F.col("known") == 1)))).select("u", "begin", "end")
+    before = F.max("end").over(W.partitionBy("u").orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(before, F.lit(0))))
+    counted = marked.select("u", fresh.alias("c")).groupBy("u").agg(F.sum("c").alias("c"))
     partly = counted.join(later.select("u").distinct(), "u", "left_anti").select(F.col("u").alias("doc_id"), F.col("c").cast("long").alias("shared_chars"))
     return partly.unionByName(later.select("doc_id", F.col("n").cast("long").alias("shared_chars")))
