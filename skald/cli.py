@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     from .streaming.pipeline import follow
 
     spark = SparkSession.builder.appName("skald").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    follow(spark, os.path.abspath(args.log), os.path.abspath(args.state), args.session, once=args.once).awaitTermination()
+    follow(spark, os.path.abspath(args.log), os.path.abspath(args.state), args.session, mode="catchup" if args.once else "live").awaitTermination()
     return 0
 
 

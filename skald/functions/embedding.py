@@ -36,3 +36,24 @@ def embed(df: DataFrame, text: str = "text", function: Callable[[Column], Column
     """Adds the embedding; each distinct text is embedded once and joined back."""
     distinct = df.select(F.col(text).alias("_t")).distinct().withColumn(name, function(F.col("_t")))
     return df.join(distinct, df[text].eqNullSafe(distinct["_t"]), "left").drop("_t")
+
+
+class EmbeddingCache:
+    """A bounded store on the driver, for single queries; tables go through `embed`. When full, the older half stays."""
+
+    def __init__(self, max_size: int = 10_000):
+        self.max_size, self._held = max_size, {}
+
+    def get(self, text: str) -> list[float] | None:
+        return self._held.get(text)
+
+    def set(self, text: str, vector: list[float]) -> None:
+        if len(self._held) >= self.max_size:
+            self._held = dict(list(self._held.items())[: self.max_size // 2])
+        self._held[text] = vector
+
+    def clear(self) -> None:
+        self._held.clear()
+
+    def size(self) -> int:
+        return len(self._held)

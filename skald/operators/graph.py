@@ -6,7 +6,7 @@ level is ever numbered in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import cut
@@ -17,12 +17,18 @@ def query_entities(entities: DataFrame, query: str) -> DataFrame:
     return entities.filter(F.contains(F.lit(query.lower()), F.lower("value")))
 
 
+def _sortable(number: Column) -> Column:
+    """A number from 0 as a text that sorts like it."""
+    return F.lpad(number.cast("string"), 20, "0")
+
+
 def bfs(entities: DataFrame, relations: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
-    """(id, d, rk): entities reached from starts (id, ord) within `depth` steps, at their first visit. Every level joins the
+    """(id, d, rk): entities reached from starts (id, ord; a number from 0 or a text) within `depth` steps, at their first visit. Every level joins the
     frontier with the relations once and is written out; the loop runs depth + 1 times, whatever the data."""
     known = entities.select("id").filter("id is not null").distinct()
     edges = relations.select(F.col("entity_from").alias("id"), F.col("entity_to").alias("to"), F.col("id").alias("edge"))
-    frontier = starts.select("id", F.array(F.col("ord").cast("long")).alias("rk"))
+    place = F.col("ord") if dict(starts.dtypes)["ord"] == "string" else _sortable(F.col("ord"))
+    frontier = starts.select("id", F.array(place).alias("rk"))
     visited, reached = None, None
     for d in range(depth + 1):
         level = frontier.groupBy("id").agg(F.min("rk").alias("rk"))
@@ -33,7 +39,7 @@ def bfs(entities: DataFrame, relations: DataFrame, starts: DataFrame, depth: int
         here = level.join(known, "id", "left_semi").select("id", F.lit(d).alias("d"), "rk")
         reached = here if reached is None else reached.unionByName(here)
         if d < depth:
-            frontier = here.join(edges, "id").select(F.col("to").alias("id"), F.concat("rk", F.array(F.col("edge").cast("long"))).alias("rk"))
+            frontier = here.join(edges, "id").select(F.col("to").alias("id"), F.concat("rk", F.array(_sortable(F.col("edge")))).alias("rk"))
     return reached
 
 

@@ -32,16 +32,16 @@ def merge(found: DataFrame, k: int) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.struct("ord", "score")))
     folded = F.aggregate(rows, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["score"]).otherwise(a * KEEP + x["score"] * ADD))
     merged = found.groupBy("id").agg(folded.alias("score"), F.min_by("content", "ord").alias("content"), F.min_by("type", "ord").alias("type"), F.min("ord").alias("ord"))
-    return merged.orderBy(F.desc("score"), "ord").limit(k)
+    return merged.orderBy(F.desc(F.round("score", 9)), "ord").limit(k)
 
 
 def hybrid(messages: DataFrame, entities: DataFrame, relations: DataFrame, query: str, vector: list[float], k: int = 5, depth: int = 2) -> DataFrame:
     """(id, content, score, type): messages (seq, id, role, content, embedding, us) and entities for a query."""
     hits = vectors.top_k(messages.filter("embedding is not null"), vector, 2 * k, "seq")
     place = F.row_number().over(W.orderBy(F.desc("score"), "seq"))  # over 2 k rows
-    rk = F.array(place.cast("long"))
+    rk = F.array(F.lpad(place.cast("string"), 20, "0"))
     hits = hits.select("id", "content", "score", F.lit("message").alias("type"), F.struct(F.lit(0).alias("source"), F.lit(0).alias("d"), rk.alias("rk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("edge")).alias("ord"), F.col("seq").alias("hit"), "us")
-    start = graph.query_entities(entities, query).select("id", F.xxhash64("id").alias("ord"))
+    start = graph.query_entities(entities, query).select("id", F.col("id").alias("ord"))
     parts = graph.chunks(entities, relations, graph.bfs(entities, relations, start, depth))
     best = merge(hits.select("id", "content", "score", "type", "ord").unionByName(parts), k)
     context = neighbours(hits.select("hit", "us"), messages.select("seq", "us", "role", "content"))

@@ -70,3 +70,26 @@ def _best(batches: Iterator, queries: list, k: int) -> Iterator:
             c = order.ravel()
             real = s[r, c] > -1.5
             yield pd.DataFrame({"q": q[r][real], "id": ids[c][real], "score": s[r, c][real]})
+
+
+class VectorIndex:
+    """An index over rows (id, v): add, get, size, clear, search. Of a repeated id the first vector counts."""
+
+    def __init__(self, rows: DataFrame):
+        self._schema, self.rows = rows.select("id", "v").schema, rows.select("id", "v").dropDuplicates(["id"])
+
+    def add(self, rows: DataFrame) -> None:
+        self.rows = self.rows.unionByName(rows.select("id", "v").dropDuplicates(["id"]).join(self.rows, "id", "left_anti"))
+
+    def get(self, id_) -> list[float] | None:
+        row = self.rows.filter(F.col("id") == id_).first()
+        return row["v"] if row else None
+
+    def size(self) -> int:
+        return self.rows.count()
+
+    def clear(self) -> None:
+        self.rows = self.rows.sparkSession.createDataFrame([], self._schema)
+
+    def search(self, query: list[float], k: int = 5) -> DataFrame:
+        return top_k(self.rows, query, k, "id", "v")

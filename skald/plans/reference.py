@@ -295,7 +295,7 @@ _BFS = f"""WITH RECURSIVE walk(id, d) AS (SELECT id, 0 FROM ({_START}) s UNION S
 
 def _reached(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e, r = read_table(spark, d, "entities"), read_table(spark, d, "entity_relations")
-    starts = e.filter("type = 'table'").select("id", F.xxhash64("id").alias("ord"))
+    starts = e.filter("type = 'table'").select("id", F.col("id").alias("ord"))
     return e, r, graph.bfs(e, r, starts, 2)
 
 
@@ -328,11 +328,33 @@ def merge_rerank(spark: SparkSession, d: str) -> DataFrame:
     return search.merge(found, 100).select("id", F.round("score", 6).alias("score"))
 
 
-@query
+_ASKED = "(SELECT 'tell me about ' || string_agg(value, ' and ' ORDER BY id) AS q FROM entities WHERE id IN (SELECT entity_from FROM entity_relations ORDER BY id LIMIT 3))"
+_HYBRID = f"""WITH RECURSIVE m AS (SELECT *, epoch_us(received_at) AS us FROM {FIRST} f), asked AS {_ASKED},
+  v AS (SELECT embedding::DOUBLE[] AS v FROM m WHERE len(embedding) = 64 ORDER BY seq LIMIT 1),
+  scored AS (SELECT seq, id, content, us, coalesce(CASE WHEN len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 THEN list_cosine_similarity(embedding::DOUBLE[], v) END, 0) AS score FROM m, v WHERE embedding IS NOT NULL),
+  hits AS (SELECT *, row_number() OVER (ORDER BY score DESC, seq) AS r FROM scored ORDER BY score DESC, seq LIMIT 10),
+  starts AS (SELECT id FROM entities, asked WHERE contains(lower(q), lower(value))),
+  walk(id, d, rk) AS (SELECT id, 0, [id] FROM starts UNION SELECT r.entity_to, w.d + 1, list_append(w.rk, lpad(r.id::VARCHAR, 20, '0')) FROM walk w JOIN entities e ON e.id = w.id JOIN entity_relations r ON r.entity_from = w.id WHERE w.d < 2),
+  seen AS (SELECT w.id, min(d) AS d, arg_min(rk, (d, rk)) AS rk, any_value(e.type) AS t, any_value(e.value) AS v FROM walk w JOIN entities e ON e.id = w.id GROUP BY 1),
+  parts AS (SELECT id, content, score, 'message' AS type, 0 AS source, 0 AS d, [lpad(r::VARCHAR, 20, '0')] AS rk, 0 AS kind, 0 AS edge FROM hits
+    UNION ALL SELECT id, t || ': ' || v, 1.0::DOUBLE - 0.3::DOUBLE * d, 'entity', 1, d, rk, 0, 0 FROM seen
+    UNION ALL SELECT s.id || '->' || r.entity_to, s.v || ' --[' || r.relation || ']--> ' || r.entity_to, 0.8::DOUBLE - 0.2::DOUBLE * d, 'path', 1, d, rk, 1, r.id FROM seen s JOIN entity_relations r ON r.entity_from = s.id),
+  merged AS (SELECT id, content, score, type, source, d, rk, kind, edge FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, d, rk, kind, edge) AS k FROM parts) x WHERE k = 1),
+  best AS (SELECT * FROM merged ORDER BY round(score, 9) DESC, source, d, rk, kind, edge LIMIT 5),
+  near AS (SELECT h.id, m.seq, m.role, m.content, row_number() OVER (PARTITION BY h.id ORDER BY m.seq) AS k FROM hits h JOIN m ON abs(h.us - m.us) < 300000000 AND h.seq <> m.seq),
+  context AS (SELECT id, string_agg(coalesce(role, '') || ': ' || substring(coalesce(content, ''), 1, 100) || '...', chr(10) ORDER BY k) AS c FROM near WHERE k <= 3 GROUP BY 1)
+  SELECT b.id, CASE WHEN type = 'message' THEN content || coalesce(chr(10) || chr(10) || 'Context: ' || c, '') ELSE content END AS content, round(score, 6) AS score, type FROM best b LEFT JOIN context c ON c.id = b.id"""
+
+
+@query(sql=_HYBRID)
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """For the first vector and a text that names three entities; equal-path chunks have equal scores here, so the twin needs no fold."""
     m = messages(spark, d, "embedding", "received_at").withColumn("us", F.unix_micros(F.col("received_at").cast("timestamp")))
+    e, r = read_table(spark, d, "entities"), read_table(spark, d, "entity_relations")
     vector = m.filter("size(embedding) = 64").orderBy("seq").first()["embedding"]
-    return search.hybrid(m, read_table(spark, d, "entities"), read_table(spark, d, "entity_relations"), QUERY, vector, 5, 2)
+    some = r.orderBy("id").limit(3).select(F.col("entity_from").alias("id"))
+    asked = "tell me about " + " and ".join(x["value"] for x in e.join(F.broadcast(some), "id", "left_semi").orderBy("id").collect())  # three at most
+    return search.hybrid(m, e, r, asked, vector, 5, 2).select("id", "content", F.round("score", 6).alias("score"), "type")
 
 
 # --- sources -----------------------------------------------------------------------------------------------------

@@ -48,16 +48,26 @@ def index_batch(rows: DataFrame, store: StateStore, batch: int, embedder: Callab
     store.append("messages", messages, batch)  # last: until here a repeated batch finds its ids new
 
 
-def follow(spark: SparkSession, log: str, state: str, session_id: str, adapter: str = "jsonl", once: bool = False, seconds: int = 1, embedder: Callable[[Column], Column] = hashed):
-    """A running query that keeps the state up with the log; once: up to the log's present end."""
+MODES = ("live", "catchup", "watch")
+
+
+def follow(spark: SparkSession, log: str, state: str, session_id: str, adapter: str = "jsonl", mode: str = "live", seconds: int = 1, embedder: Callable[[Column], Column] = hashed):
+    """A running query that keeps the state up with the log.
+
+    live: every `seconds`, without end; catchup: up to the log's present end; watch: `log` is a folder, and each file put there is read once, whole. In the folder,
+    messages are ordered by batch, file and line."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
     register(spark)
     store = StateStore(spark, state)
-    lines = spark.readStream.format("skald_log").load(log)
+    lines = spark.readStream.text(log) if mode == "watch" else spark.readStream.format("skald_log").load(log)
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = ADAPTERS[adapter](batch.select(F.col("offset").alias("seq"), "value")).withColumn("session_id", F.lit(session_id))
+        seq = F.lit(number << 44) + F.monotonically_increasing_id() if mode == "watch" else F.col("offset")
+        numbered = batch.select(seq.alias("seq"), "value")
+        rows = ADAPTERS[adapter](cut(numbered) if mode == "watch" else numbered).withColumn("session_id", F.lit(session_id))
         index_batch(rows, store, number, embedder)
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", f"{state}/_checkpoint")
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")
+    writer = writer.trigger(availableNow=True) if mode == "catchup" else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()

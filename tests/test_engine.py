@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skald.functions import text as T
-from skald.functions.embedding import embed, hashed
+from skald.functions.embedding import EmbeddingCache, embed, hashed
 from skald.operators import extraction, frame, graph, importance, search, vectors
 from skald.operators.history import number_rows
 
@@ -246,3 +246,19 @@ def test_embedding(spark):
     assert len(rows) == 5 and all(len(v) == 32 for v in rows)
     one = spark.createDataFrame([("spark and redis", "redis and spark")], "a string, b string").select(hashed(F.col("a")).alias("a"), hashed(F.col("b")).alias("b")).first()
     assert one.a == one.b and len(one.a) == 384 and sum(x * x for x in one.a) == pytest.approx(1)
+
+
+def test_index_and_cache(spark):
+    make = lambda x: spark.createDataFrame(x, "id bigint, v array<double>")
+    index = vectors.VectorIndex(make([(1, [1.0, 0.0]), (2, [0.0, 1.0])]))
+    index.add(make([(2, [9.0, 9.0]), (3, [1.0, 1.0])]))
+    assert index.size() == 3 and index.get(2) == [0.0, 1.0] and index.get(7) is None
+    assert [r.id for r in index.search([1.0, 0.1], 2).collect()] == [1, 3]
+    index.clear()
+    assert index.size() == 0
+    cache = EmbeddingCache(4)
+    for i in range(5):
+        cache.set(str(i), [i])
+    assert cache.size() == 3 and cache.get("0") == [0] and cache.get("3") is None and cache.get("4") == [4]
+    cache.clear()
+    assert cache.size() == 0

@@ -37,7 +37,7 @@ def test_lines_of_byte_ranges(tmp_path):
 
 
 def run(spark, log, state):
-    q = follow(spark, str(log), str(state), "s1", once=True)
+    q = follow(spark, str(log), str(state), "s1", mode="catchup")
     q.awaitTermination()
     assert q.exception() is None
 
@@ -101,3 +101,19 @@ def test_cli(tmp_path):
     root = skald.__path__[0].rsplit("/", 1)[0]
     out = subprocess.run([sys.executable, "-m", "skald.cli", "init", "talk"], cwd=tmp_path, env={"PYTHONPATH": root, "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert out.returncode == 0 and (tmp_path / "talk.jsonl").exists()
+
+
+def test_watched_folder(spark, tmp_path):
+    folder, state = tmp_path / "in", tmp_path / "state"
+    folder.mkdir()
+    q = follow(spark, str(folder), str(state), "s1", mode="watch")
+    try:
+        for k in range(2):
+            part = lines(20, k)
+            (tmp_path / "part").write_text("\n".join(x.replace('"m', f'"p{k}m') for x in part))
+            (tmp_path / "part").rename(folder / f"part{k}.jsonl")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = StateStore(spark, str(state)).read("messages").orderBy("seq").collect()
+    assert [x.id for x in rows] == [f"p{k}m{i}" for k in range(2) for i in range(20)]
