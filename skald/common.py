@@ -37,9 +37,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop_fs(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
 def _quiet_delete(spark: SparkSession, path: str) -> None:
     try:
-        hadoop_fs(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        delete(spark, path)
     except Exception:  # the JVM may be gone already
         pass
 
@@ -88,9 +92,9 @@ def small_or_none(df: DataFrame, max_rows: int) -> list | None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where the input came as fewer splits than there are cores (few or single row groups)."""
+    """Use the cores where the input came as few splits (few or single row groups): with less than one for two cores, a shuffle of the rows pays."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
