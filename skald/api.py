@@ -36,7 +36,7 @@ class Conversation:
     def get_entities(self, exact: bool = False) -> DataFrame:
         messages = self._own("messages").withColumn("entity_ids", F.to_json("entity_ids"))
         entities = self.store.read("entities")
-        return entities.join(extraction.session_entities(messages, entities, exact).select("id"), "id", "left_semi")
+        return entities.join(extraction.session_entities(messages, entities, exact).select("id"), "id", "left_semi").orderBy("first_seen", "id")
 
     def get_entity_graph(self) -> tuple[DataFrame, DataFrame]:
         return self.store.read("entities"), self.store.read("entity_relations")

@@ -20,7 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import fresh_dir, list_names, read_text, write_text_atomically
+from ..common import delete, fresh_dir, list_names, read_text, write_text_atomically
 
 _LAST = 2**63 - 1
 
@@ -107,6 +107,27 @@ class DeliveryStore:
         return state
 
 
+    def compact(self) -> dict:
+        """One index version instead of many, in a new manifest; then removes row versions of partitions that were replaced."""
+        old = self.manifest()
+        if len(old["index"]) > 1:
+            version = old["version"] + 1
+            self.index().write.parquet(f"{self.path}/index/v={version}")
+            state = old | {"version": version, "index": [version]}
+            write_text_atomically(self.spark, f"{self.path}/_manifest/{version}.json", json.dumps(state))
+        else:
+            state = old
+        used = {f"{v}/kept=true/p={_escape(p)}" for p, v in state["rows"].items()}
+        for v in list_names(self.spark, f"{self.path}/rows"):
+            for p in list_names(self.spark, f"{self.path}/rows/{v}/kept=true"):
+                if p.startswith("p=") and f"{v[2:]}/kept=true/{p}" not in used:
+                    delete(self.spark, f"{self.path}/rows/{v}/kept=true/{p}")
+        for v in list_names(self.spark, f"{self.path}/index"):
+            if int(v[2:]) not in state["index"]:
+                delete(self.spark, f"{self.path}/index/{v}")
+        return state
+
+
 def _escape(p: str) -> str:
     """As Spark writes a partition's folder."""
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in p)

@@ -43,6 +43,10 @@ def test_store_in_any_order_of_batches(spark):
         store = DeliveryStore(spark, fresh_dir(spark, "t"), partition=month)
         for b in order:
             store.merge(df.filter(F.coalesce("batch_id", F.lit(0)) % 3 == b))
+        before = sorted((r.k, r.p) for r in store.index().collect())
+        state = store.compact()
+        assert len(state["index"]) == 1 and sorted((r.k, r.p) for r in store.index().collect()) == before
+        assert store.compact() == state
         kept = store.winners()
         assert kept.columns == df.columns
         lost = sorted((r.id, r.seq) for r in store.superseded().collect())

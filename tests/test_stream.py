@@ -47,7 +47,7 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     data = ("\n".join(all_lines) + "\n").encode()
     log, state = tmp_path / "log.jsonl", tmp_path / "state"
     log.write_bytes(b"")
-    r, at = random.Random(3), 0
+    at = 0
     for step in (1500, 2111, 1, len(data)):
         with log.open("ab") as f:
             f.write(data[at : at + step])
