@@ -175,8 +175,12 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
     sizes = cut(keyed.distinct())
     copies = sizes.groupBy("h").agg(F.min("doc_id").alias("u"), F.count("*").alias("k")).filter("k > 1")
     later = sizes.join(copies, "h").select("doc_id", "n", "u")
-    extra = later.filter("doc_id <> u").select("doc_id")
-    texts = spread(records).select(F.col("doc_id").alias("u"), "text").join(extra.withColumnRenamed("doc_id", "u"), "u", "left_anti") if not extra.isEmpty() else spread(records).select(F.col("doc_id").alias("u"), "text")
+    extra = cut(later.filter("doc_id <> u").select(F.col("doc_id").alias("u")))
+    texts = spread(records).select(F.col("doc_id").alias("u"), "text")
+    copied = extra.count()
+    if copied:
+        # its size is checked: at most MAX_BROADCAST numbers go to the tasks, so that no text is moved
+        texts = texts.join(F.broadcast(extra) if copied <= min(MAX_BROADCAST, max_broadcast) else extra, "u", "left_anti")
 
     def chunks(batches: Iterator, every: bool = False) -> Iterator:
         import numpy as np
