@@ -27,7 +27,7 @@ from ..operators.timestamps import normalise_timestamps
 
 ROLES = ("system", "user", "assistant", "tool")
 FRAGMENT_ROWS = 2_000
-_FRAGMENT = "session_id string, frag bigint, n int, seqs array<bigint>, hashes array<bigint>, first_kind int, last_kind int, unanswered boolean"
+_FRAGMENT = "session_id string, frag bigint, n int, seqs array<bigint>, hashes array<bigint>, first_kind int, last_kind int, tail_kind int, unanswered boolean"
 
 
 def assemble(fragments: DataFrame, min_overlap: int = 1) -> DataFrame:
@@ -82,7 +82,7 @@ def _fragments(batches: Iterator, most: int) -> Iterator:
         spoken = [k for k in kinds if k]
         open_ = any(a == 1 and b == 1 for a, b in zip(spoken, spoken[1:]))
         number += 1
-        return (session, number, len(seqs), seqs, hashes, spoken[0] if spoken else 0, spoken[-1] if spoken else 0, open_)
+        return (session, number, len(seqs), seqs, hashes, spoken[0] if spoken else 0, spoken[-1] if spoken else 0, kinds[-1], open_)
 
     names = [x.split()[0] for x in _FRAGMENT.split(", ")]
     for b in batches:
@@ -122,20 +122,28 @@ def conversations(messages: DataFrame, sessions: DataFrame | None, fragment_rows
     ordered = kept.repartitionByRange("session_id", "utc_us", "seq").sortWithinPartitions("session_id", "utc_us", "seq")
     fragments = cut(ordered.select("session_id", "seq", "h", "kind").mapInPandas(lambda b: _fragments(b, fragment_rows), _FRAGMENT))
     # as exported: each fragment but a session's first begins with the last message of the one before
-    tails = fragments.select("session_id", "frag", F.element_at("hashes", -1).alias("tail"))
+    tails = fragments.select("session_id", "frag", F.struct(F.element_at("hashes", -1).alias("h"), F.element_at("seqs", -1).alias("seq"), F.col("tail_kind").alias("kind")).alias("tail"))
     before = F.lag("tail").over(W.partitionBy("session_id").orderBy("frag"))
-    exported = fragments.select("session_id", "frag", "hashes").join(tails.select("frag", before.alias("before")), "frag")
-    exported = exported.select("session_id", "frag", F.when(F.col("before").isNull(), F.col("hashes")).otherwise(F.concat(F.array("before"), F.col("hashes"))).alias("hashes"))
+    led = lambda first, rest: F.when(F.col("before").isNull(), F.col(rest)).otherwise(F.concat(F.array(f"before.{first}"), F.col(rest))).alias(rest)
+    exported = fragments.join(tails.select("frag", before.alias("before")), "frag").select("session_id", "frag", led("h", "hashes"), led("seq", "seqs"), F.coalesce("before.kind", F.lit(0)).alias("led_by"), "first_kind", "last_kind", "unanswered")
     several = fragments.groupBy("session_id").agg(F.count("*").alias("k"))
     alone = fragments.join(several.filter("k = 1"), "session_id", "left_semi")
     pieces = exported.join(several.filter("k > 1"), "session_id", "left_semi")
-    ways = cut(assemble(pieces))
-    long = fragments.join(ways.select("frag", "skip", "at"), "frag")
+    ways = cut(assemble(pieces.select("session_id", "frag", "hashes")))
+    # a first fragment of one row lies inside the next, which then keeps the message it begins with
+    whole = (F.col("skip") == 0) & (F.col("led_by") > 0)
+    long = pieces.drop("hashes").join(ways.select("frag", "skip", "at"), "frag")
+    long = long.select(
+        "session_id", "frag", (F.col("at") + F.col("skip")).alias("at"), F.slice("seqs", (F.col("skip") + 1).cast("int"), F.size("seqs")).alias("seqs"),
+        F.when(whole, F.col("led_by")).otherwise(F.col("first_kind")).alias("first_kind"),
+        F.when(whole & (F.col("last_kind") == 0), F.col("led_by")).otherwise(F.col("last_kind")).alias("last_kind"),
+        (F.col("unanswered") | (whole & (F.col("led_by") == 1) & (F.col("first_kind") == 1))).alias("unanswered"),
+    )
     # over the fragments of a path: an open question at the end of one must be answered before anything else is asked
     chain = W.partitionBy("session_id").orderBy("at")
     spoken = long.filter("first_kind > 0").select("session_id", "frag", "at", "last_kind", F.lead("first_kind").over(chain).alias("then"))
     unanswered = spoken.filter("last_kind = 1 and coalesce(then, 1) = 1").select("session_id").union(long.filter("unanswered").select("session_id")).distinct()
-    long = long.join(unanswered, "session_id", "left_anti").select("session_id", "seqs", (F.col("at") + F.col("skip")).alias("at"))
+    long = long.join(unanswered, "session_id", "left_anti").select("session_id", "seqs", "at")
     short = alone.filter("not unanswered and last_kind = 2").select("session_id", "seqs", F.lit(0).cast("long").alias("at"))
     turns = short.unionByName(long).select("session_id", "at", F.posexplode("seqs").alias("i", "seq"))
     return turns.select("session_id", (F.col("at") + F.col("i") + 1).alias("turn_no"), "seq")

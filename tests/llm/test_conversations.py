@@ -70,6 +70,16 @@ def test_against_brute_force(spark, most):
     assert sorted(map(tuple, conversations(df, zones, most).collect())) == expected
 
 
+def test_first_fragment_of_one_row(spark):
+    rows = make(1, 150)
+    zones = spark.createDataFrame([(f"s{i}", None if i % 3 else "Asia/Tokyo") for i in range(200)], "id string, client_tz string")
+    assert sorted(map(tuple, conversations(spark.createDataFrame(rows, SCHEMA), zones, 1).collect())) == brute(rows)
+    said = {"kept": ["user", "assistant", "user", "assistant"], "asked_twice": ["user", "user", "assistant"], "led": ["system", "user", "assistant"]}
+    rows = [(10 * j + i, f"{s}{i}", s, role, "x", str(1_700_000_000 + i), "f", "h") for j, (s, v) in enumerate(said.items()) for i, role in enumerate(v)]
+    found = conversations(spark.createDataFrame(rows, SCHEMA), None, 1).collect()
+    assert sorted(map(tuple, found)) == [("kept", i + 1, i) for i in range(4)] + [("led", i + 1, 20 + i) for i in range(3)]
+
+
 def test_one_long_session_over_many_tasks(spark):
     rows = [(i, f"m{i}", "hot", ["user", "assistant"][i % 2], "x", str(1_700_000_000 + i // 7), "f", "h") for i in range(5000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
