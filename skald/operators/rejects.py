@@ -44,7 +44,7 @@ _CSV_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)'
 _CSV_ROW = re.compile(rf"{_CSV_FIELD}(?:,{_CSV_FIELD})*+(?:\r\n|\r|\n)?\Z")
 _CSV_ONE = re.compile(rf"({_CSV_FIELD})(,|(?:\r\n|\r|\n)?\Z)")
 CSV_PREFIXES = [re.compile(_CSV_FIELD + rf"(?:,{_CSV_FIELD}){{{n}}}(?=,|(?:\r\n|\r|\n)?\Z)") for n in range(len(CSV_FIELDS))]
-CSV_LOADABLE = re.compile(_CSV_FIELD + rf',"?(?:{"|".join(ROLES)})"?' + rf"(?:,{_CSV_FIELD}){{4}}(?:\r\n|\r|\n)?\Z")
+CSV_LOADABLE = re.compile(_CSV_FIELD + rf',(?:"(?:{"|".join(ROLES)})"|(?:{"|".join(ROLES)}))' + rf"(?:,{_CSV_FIELD}){{4}}(?:\r\n|\r|\n)?\Z")
 _JSON_ROW = json_row_pattern()
 _KEY = re.compile(rf"({_STR}){_WS}:{_WS}")
 _TOKEN = re.compile(rf"{_WS}({_STR}|{_NUM}|true|false|null|[\[\]{{}},:])")

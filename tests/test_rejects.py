@@ -54,6 +54,14 @@ def test_csv(raw, reason, field):
     assert judge("csv", raw)[:2] == (reason, field)
 
 
+@pytest.mark.parametrize("raw", ['m1,"user,hi,2025,m,s', 'm1,user",hi,2025,m,s', 'm1,"tool,hi,2025,m,s\r\n'])
+def test_stray_quote_at_the_role(spark, raw):
+    assert judge("csv", raw)[:2] == ("broken_text", "role")
+    df = spark.createDataFrame([(1, "csv", raw), (2, "csv", 'm2,"user",hi,2025,m,s')], "line_id bigint, fmt string, raw string")
+    assert [(r.line_id, r.reason) for r in rejected_lines(df).collect()] == [(1, "broken_text")]
+    assert [r.line_id for r in split_lines(df).filter("loaded").collect()] == [2]
+
+
 def test_first_broken_field_and_depth():
     assert judge_json('{"id":"a","role":"user","content":"x"y","timestamp":"t"}')[:2] == ("broken_text", "content")
     assert judge_json("[" * 100_000)[0] == "broken_text"
