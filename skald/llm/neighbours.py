@@ -5,7 +5,7 @@ balanced parts (median splits along random directions, then label propagation th
 parts have room), and a classifier with one hidden layer learns which parts hold a vector's neighbours. How many of its most
 probable parts a query visits is calibrated on the sample: the fewest for which TARGET_RECALL of the true neighbours lie in visited parts.
 With a similarity floor, pairs that are just so similar are made up from the sample, and it is enough that one of the two visits the other, as
-what one finds the other then knows as well.
+what one finds the other then knows as well; so each cell gives the k best of every row that asks and the k best askers of every row asked.
 
 Searching: every row is indexed in its most probable part, and sent as a query to its further probable parts. Parts are cut into
 cells of bounded numbers of rows and of queries, each scored by one matrix product; a query's results from its cells are ranked
@@ -339,6 +339,9 @@ def _search(rows: DataFrame, total: int, k: int, dims: int, floor: float | None,
             r, c = _best(s, q_n[i : i + 2048], index_n, k, floor)
             out.append((q_n[i : i + 2048][r], index_n[c], s[r, c]))
         a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        if floor is not None and len(out) > 1:  # the blocks of askers together
+            keep = _near(a, b, s, k)
+            a, b, s = a[keep], b[keep], s[keep]
         return pa.table({"q": a.astype(np.int64), "s": b.astype(np.int64), "similarity": s.astype(np.float32)})
 
     placed = rows.mapInArrow(place, "part int, block int, lane int, kind int, n bigint, v binary")
@@ -360,7 +363,7 @@ def _rows(part, block, lane, kind, n, v):
 
 
 def _best(s, q_n, index_n, k: int, floor: float | None):
-    """Of each row of s at most k columns, not itself: (rows, columns)."""
+    """Of each row of s at most k columns, not itself; with a floor also of each column at most k rows: (rows, columns)."""
     import numpy as np
 
     if floor is None:
@@ -374,12 +377,20 @@ def _best(s, q_n, index_n, k: int, floor: float | None):
     r, c = np.nonzero(s >= floor)
     other = q_n[r] != index_n[c]
     r, c = r[other], c[other]
-    if len(r):
-        order = np.lexsort((index_n[c], -s[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c = r[place < k], c[place < k]
-    return r, c
+    keep = _near(q_n[r], index_n[c], s[r, c], k)
+    return r[keep], c[keep]
+
+
+def _near(q, s, similarity, k: int):
+    """Which pairs are among the k best of the one that asks or of the one that is met."""
+    import numpy as np
+
+    keep = np.zeros(len(q), bool)
+    for one, other in ((q, s), (s, q)):
+        order = np.lexsort((other, -similarity, one))
+        sorted_ = one[order]
+        keep[order] |= np.arange(len(q)) - np.searchsorted(sorted_, sorted_) < k
+    return keep
 
 
 def close_pairs(vectors: DataFrame, k: int = 10, dims: int = 64, floor: float = 0.87) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skald.llm.neighbours import balanced_parts, close_pairs, message_vectors, neighbour_graph, top_neighbours
+from skald.llm.neighbours import _best, balanced_parts, close_pairs, message_vectors, neighbour_graph, top_neighbours
 
 DIMS = 16
 
@@ -32,6 +32,19 @@ def clustered(n, seed):
     return x * r.uniform(0.1, 5, (n, 1))
 
 
+def dense(n, group, seed):
+    """Groups of near vectors that aren't copies."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, DIMS))
+    for i in range(0, n // 2, group):
+        x[i : i + group] = x[i] + 0.25 * r.standard_normal((group, DIMS))
+    return x.astype(np.float32)
+
+
+def top_close(df):
+    return {(min(r.q, r.s), max(r.q, r.s)) for r in top_neighbours(df, 10, DIMS, 0.87, part_rows=300).collect()}
+
+
 def test_close_pairs_over_several_parts(spark):
     x = clustered(3000, 1).astype(np.float32)
     df = frame(spark, enumerate(x.tolist()))
@@ -44,6 +57,20 @@ def test_close_pairs_over_several_parts(spark):
     assert len(found & expected) >= 0.97 * len(expected) and not found - expected
 
 
+def test_askers_of_a_row_are_kept_beyond_their_own_lists():
+    s = np.array([[0.99, 0.98, 0.9], [0.97, 0.96, 0.8]], np.float32)
+    r, c = _best(s, np.array([10, 11]), np.array([1, 2, 3]), 2, 0.87)
+    assert set(zip(r.tolist(), c.tolist())) == {(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)}
+
+
+def test_dense_groups_over_several_parts(spark):
+    x = dense(3000, 300, 5)
+    df = frame(spark, enumerate(x.tolist()))
+    expected = brute_pairs(list(range(len(x))), unit(x.astype(np.float64)), 10, 0.87)
+    found = set(map(tuple, top_close(df)))
+    assert len(found & expected) >= 0.97 * len(expected)
+
+
 def test_recall_without_floor(spark):
     x = clustered(2500, 2)
     df = frame(spark, enumerate(x.tolist()))
