@@ -154,10 +154,20 @@ def replay(messages: DataFrame, key: str = "id", order: str = "seq", partition:
     return store
 
 
+def _month() -> Column:
+    return F.date_format(F.col("received_at").cast("timestamp"), "yyyyMM")
+
+
+def stored_messages(messages: DataFrame) -> DataFrame:
+    """The winners of a store that whole message rows were loaded into, those without id among them."""
+    kept = replay(messages, partition=_month()).winners()
+    return messages.limit(0) if kept is None else kept
+
+
 def superseded_deliveries(messages: DataFrame) -> DataFrame:
     """(id, seq) of every row whose id stands in a row with a smaller seq."""
     rows = messages.select("id", "seq", "batch_id", "received_at").filter("id != ''")
-    store = replay(rows, partition=F.date_format(F.col("received_at").cast("timestamp"), "yyyyMM"))
+    store = replay(rows, partition=_month())
     lost = store.superseded()
     if lost is None:
         return messages.select("id", "seq").limit(0)

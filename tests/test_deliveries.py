@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from skald.common import fresh_dir, list_names
-from skald.operators.deliveries import DeliveryStore, losing_deliveries, single_deliveries, superseded_deliveries
+from skald.operators.deliveries import DeliveryStore, losing_deliveries, single_deliveries, stored_messages, superseded_deliveries
+from skald.plans import registry
 
 SCHEMA = "seq bigint, id string, batch_id bigint, received_at timestamp_ntz, kept string, p string, row string"
 
@@ -27,6 +28,20 @@ def losers(data):
     return sorted((k, s) for s, k, *_ in data if k and s is not None and s > first[k])
 
 
+def test_whole_messages_through_the_store(spark, monkeypatch):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    kept = stored_messages(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, single_deliveries(df).collect()))
+    assert stored_messages(df.limit(0)).count() == 0
+    loaded, merge = [], DeliveryStore.merge
+    monkeypatch.setattr(DeliveryStore, "merge", lambda self, batch: loaded.append(batch.columns) or merge(self, batch))
+    monkeypatch.setattr(registry, "read_table", lambda *_: df.selectExpr("*", "'s' AS session_id"))
+    found = registry.QUERIES["p1_messages"](spark, "").collect()
+    assert loaded and all(c == [*df.columns, "session_id"] for c in loaded)
+    assert [(r.session_id, r.messages) for r in found] == [("s", 400 - len(losers(rows())))]
+
+
 def test_superseded_rows_and_clashing_names(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
