@@ -126,14 +126,12 @@ def conversations(messages: DataFrame, sessions: DataFrame | None, fragment_rows
     before = F.lag("tail").over(W.partitionBy("session_id").orderBy("frag"))
     led = lambda first, rest: F.when(F.col("before").isNull(), F.col(rest)).otherwise(F.concat(F.array(f"before.{first}"), F.col(rest))).alias(rest)
     exported = fragments.join(tails.select("frag", before.alias("before")), "frag").select("session_id", "frag", led("h", "hashes"), led("seq", "seqs"), F.coalesce("before.kind", F.lit(0)).alias("led_by"), "first_kind", "last_kind", "unanswered")
-    several = fragments.groupBy("session_id").agg(F.count("*").alias("k"))
-    alone = fragments.join(several.filter("k = 1"), "session_id", "left_semi")
-    pieces = exported.join(several.filter("k > 1"), "session_id", "left_semi")
+    pieces = cut(exported)
     ways = cut(assemble(pieces.select("session_id", "frag", "hashes")))
     # a first fragment of one row lies inside the next, which then keeps the message it begins with
     whole = (F.col("skip") == 0) & (F.col("led_by") > 0)
-    long = pieces.drop("hashes").join(ways.select("frag", "skip", "at"), "frag")
-    long = long.select(
+    placed = pieces.drop("hashes").join(ways.select("frag", "skip", "at"), "frag")
+    placed = placed.select(
         "session_id", "frag", (F.col("at") + F.col("skip")).alias("at"), F.slice("seqs", (F.col("skip") + 1).cast("int"), F.size("seqs")).alias("seqs"),
         F.when(whole, F.col("led_by")).otherwise(F.col("first_kind")).alias("first_kind"),
         F.when(whole & (F.col("last_kind") == 0), F.col("led_by")).otherwise(F.col("last_kind")).alias("last_kind"),
@@ -141,11 +139,10 @@ def conversations(messages: DataFrame, sessions: DataFrame | None, fragment_rows
     )
     # over the fragments of a path: an open question at the end of one must be answered before anything else is asked
     chain = W.partitionBy("session_id").orderBy("at")
-    spoken = long.filter("first_kind > 0").select("session_id", "frag", "at", "last_kind", F.lead("first_kind").over(chain).alias("then"))
-    unanswered = spoken.filter("last_kind = 1 and coalesce(then, 1) = 1").select("session_id").union(long.filter("unanswered").select("session_id")).distinct()
-    long = long.join(unanswered, "session_id", "left_anti").select("session_id", "seqs", "at")
-    short = alone.filter("not unanswered and last_kind = 2").select("session_id", "seqs", F.lit(0).cast("long").alias("at"))
-    turns = short.unionByName(long).select("session_id", "at", F.posexplode("seqs").alias("i", "seq"))
+    spoken = placed.filter("first_kind > 0").select("session_id", "frag", "at", "last_kind", F.lead("first_kind").over(chain).alias("then"))
+    unanswered = spoken.filter("last_kind = 1 and coalesce(then, 1) = 1").select("session_id").union(placed.filter("unanswered").select("session_id")).distinct()
+    placed = placed.join(unanswered, "session_id", "left_anti").select("session_id", "seqs", "at")
+    turns = placed.select("session_id", "at", F.posexplode("seqs").alias("i", "seq"))
     return turns.select("session_id", (F.col("at") + F.col("i") + 1).alias("turn_no"), "seq")
 
 

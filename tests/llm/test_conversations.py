@@ -80,6 +80,16 @@ def test_first_fragment_of_one_row(spark):
     assert sorted(map(tuple, found)) == [("kept", i + 1, i) for i in range(4)] + [("led", i + 1, 20 + i) for i in range(3)]
 
 
+def test_sessions_of_one_fragment_are_assembled(spark, monkeypatch):
+    import skald.llm.conversations as module
+
+    seen = set()
+    monkeypatch.setattr(module, "assemble", lambda pieces: seen.update(r.session_id for r in pieces.collect()) or assemble(pieces))
+    rows = make(1, 150)
+    found = conversations(spark.createDataFrame(rows, SCHEMA), None).collect()
+    assert found and {r.session_id for r in found} <= seen
+
+
 def test_one_long_session_over_many_tasks(spark):
     rows = [(i, f"m{i}", "hot", ["user", "assistant"][i % 2], "x", str(1_700_000_000 + i // 7), "f", "h") for i in range(5000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
