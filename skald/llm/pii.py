@@ -3,7 +3,7 @@
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their forms. Persons are found through the corpus: the list of
 names is incomplete, so co-occurrence over all texts estimates how strongly each other term discloses a person: of all its
 occurrences, the share that stands beside a known given or family name, or an initial, in one of the forms of a full name. Terms above
-the disclosure threshold join the list, in rounds, as what they stand beside may be new as well. Full names made of
+the disclosure threshold join the list, in rounds until no new one comes, as what they stand beside may be new as well. Full names made of
 listed and learned parts are then replaced, all details by typed placeholders.
 
 Defined results: null, empty and blank contents hold nothing; details are distinct per row and kind; where two overlap, e-mail comes
@@ -25,7 +25,6 @@ from ..common import cut, small_or_none, spread
 from . import pii_rules as rules
 
 THRESHOLD = 0.3
-ROUNDS = 3
 MAX_TERMS = 500_000
 KINDS = ("email", "id_number", "phone", "address", "person")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -112,7 +111,7 @@ def persons(text: str, words: list, blocked: list[tuple[int, int, str]], given,
     return out
 
 
-def learn_names(messages: DataFrame, names: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, max_terms: int = MAX_TERMS) -> DataFrame:
+def learn_names(messages: DataFrame, names: DataFrame, threshold: float = THRESHOLD, max_terms: int = MAX_TERMS) -> DataFrame:
     """(term, part, disclosure): listed terms have disclosure 1. part is given or family.
 
     Pairs are neighbouring words of one letter case in a form of a full name; pairs in lower case count where one of the two is
@@ -129,10 +128,10 @@ def learn_names(messages: DataFrame, names: DataFrame, threshold: float = THRESH
         pairs: Counter = Counter()
 
         def flush():
-            rows = [(t, None, n) for t, n in seen.items()] + [(g, f, n) for (g, f), n in pairs.items()]
+            rows = [(t, None, False, n) for t, n in seen.items()] + [(*k, n) for k, n in pairs.items()]
             seen.clear()
             pairs.clear()
-            return pd.DataFrame(rows, columns=["g", "f", "n"])
+            return pd.DataFrame(rows, columns=["g", "f", "lower", "n"])
 
         for b in batches:
             for text in b["content"]:
@@ -143,28 +142,34 @@ def learn_names(messages: DataFrame, names: DataFrame, threshold: float = THRESH
                     if swapped or len(g) < 2 or len(f) < 2:
                         continue
                     value = text[begin:end]
-                    if value.islower():
+                    lower = value.islower()
+                    if lower:
                         if known.value is not None and g not in known.value and f not in known.value:
                             continue
                     elif not value.isupper() and not (text[begin].isupper() and all(w[0].isupper() for w in WORD.findall(value))):
                         continue
-                    pairs[g, f] += 1
+                    pairs[g, f, lower] += 1
                 for m in words:
                     f = m.group()
                     if len(f) > 1 and not f.islower() and not any(x < m.end() and m.start() < y for x, y, _ in blocked):
                         beside = text[m.start() - 1 : m.start()] in (" ", "\u00a0") and _INITIALS.search(text, max(0, m.start() - 6), m.start())
                         if beside and beside.group()[0].isupper() or _COMMA_INITIAL.match(text, m.end()):
-                            pairs["", f.lower()] += 1
+                            pairs["", f.lower(), False] += 1
             if len(seen) + len(pairs) > 200_000:
                 yield flush()
         yield flush()
 
     texts = spread(messages.select("content").filter(F.length("content") > 0))
-    counted = cut(texts.mapInPandas(count, "g string, f string, n bigint").groupBy("g", "f").agg(F.sum("n").alias("n")))
+    counted = cut(texts.mapInPandas(count, "g string, f string, lower boolean, n bigint").groupBy("g", "f", "lower").agg(F.sum("n").alias("n")))
     terms = counted.filter("f is null").select(F.col("g").alias("term"), F.col("n").alias("c"))
     pairs = counted.filter("f is not null")
+    if few is None:  # the list is too long for the tasks to look into
+        words = listed.select("term").distinct()
+        for side in ("g", "f"):
+            pairs = pairs.join(words.select(F.col("term").alias(side), F.lit(True).alias(f"listed_{side}")), side, "left")
+        pairs = cut(pairs.filter("not lower or listed_g or listed_f").select("g", "f", "n"))
     lexicon = cut(listed.withColumn("disclosure", F.lit(1.0)))
-    for _ in range(rounds):
+    while True:
         found = None
         for part, other, mine, beside in (("family", "given", "f", "g"), ("given", "family", "g", "f")):
             anchors = lexicon.filter(F.col("part") == other).select(F.col("term").alias(beside)).union(spark.createDataFrame([("",)], "t string"))  # "" stands for an initial

@@ -75,6 +75,18 @@ def test_persons_learn_from_the_corpus(spark):
     assert persons(find_details(df, names, max_terms=1).collect()) == EXPECTED
 
 
+def test_names_at_the_end_of_a_chain(spark):
+    df, names = frame(spark, ["Orrin Fama", "Gamo Fama", "Gamo Fbeta", "Gdelta Fbeta", "Gdelta Fepsi", "Gzeta Fepsi"]), spark.createDataFrame(NAMES, "name string, name_part string")
+    learned = {(r.term, r.part) for r in learn_names(df, names).collect()}
+    assert {("fbeta", "family"), ("gdelta", "given"), ("fepsi", "family"), ("gzeta", "given")} <= learned
+
+
+def test_a_long_list_learns_the_same(spark):
+    df, names = frame(spark, ["As Orrin Sundhuist said"] * 3 + ["wobei sundhuist kam", "thanks tamsel sundhuist"]), spark.createDataFrame(NAMES, "name string, name_part string")
+    few, many = (sorted(map(tuple, learn_names(df, names, max_terms=n).collect())) for n in (100, 1))
+    assert ("sundhuist", "family") in {x[:2] for x in few} and "wobei" not in {x[0] for x in few} and many == few
+
+
 def test_redaction_and_empty_tables(spark):
     df = frame(spark, ["😀 Orrin Velkomir, call 020 7946 0508; orrin@example.org!", "nothing here", None])
     names = spark.createDataFrame(NAMES, "name string, name_part string")
