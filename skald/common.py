@@ -60,15 +60,23 @@ def hadoop_fs(spark: SparkSession, path: str):
 
 
 def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
-    """Write beside the target and rename, so that readers see the old state or the new one."""
-    fs, Path = hadoop_fs(spark, path), spark._jvm.org.apache.hadoop.fs.Path
-    temporary = Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(temporary, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if not fs.rename(temporary, Path(path)):
-        fs.delete(temporary, False)
+    """Readers see nothing or all of it, and of two writers one fails: through the session's checkpoint file manager, which knows the atomic way of each
+    file system (a rename that doesn't overwrite, or an upload that appears when it is closed)."""
+    jvm = spark._jvm
+    managers = jvm.org.apache.spark.sql.execution.streaming
+    manager = managers.checkpointing.CheckpointFileManager
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = manager.create(target.getParent(), spark._jsc.hadoopConfiguration())
+    files.mkdirs(target.getParent())
+    if files.exists(target):
         raise RuntimeError(f"{path} was committed by another writer")
+    out = files.createAtomic(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+        out.close()
+    except Exception as e:
+        out.cancel()
+        raise RuntimeError(f"{path} was committed by another writer") from e
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -114,10 +122,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def has_columns(df: DataFrame, *names: str) -> bool:
-    return all(n in df.columns for n in names)
-
-
 def code_points(text: str):
     import numpy as np
 

@@ -5,17 +5,20 @@ them. `merge` takes a batch of deliveries, looks up through the index which hist
 identifiers, reads only those, recomputes the single winners of history and batch together, writes new versions of just
 those partitions, and commits by renaming one manifest file: readers see all of a merge or nothing.
 
-The row with the smallest order value wins; exact repeats of the winner collapse to one row. Defined results: a null or empty
-identifier identifies nothing, each such row stays; a null order loses to any other; an empty batch changes nothing; extra
-columns pass through, whatever their names: a row is stored as one struct beside the store's own columns.
-
-Scale: the winners' table is pre-aggregated before its shuffle, and rows meet it on (identifier, order), so a
-hot identifier spreads over all tasks. The driver holds partition names only, whose number the partition expression bounds.
+The row with the smallest order value wins; rows of one identifier and order are one delivery, so a batch that is delivered again
+changes neither winners nor losers. Defined results: a null or empty identifier identifies nothing, each such row stays (and comes again
+with a batch that is taken in twice); a null order loses to any other; an empty batch changes nothing; extra columns pass through, whatever
+their names: a row is stored as one struct beside the store's own columns.
+
+Scale: the index lies in INDEX_BUCKETS folders by a hash of the identifier, and a merge reads those that its batch touches. The winners' table is
+pre-aggregated before its shuffle, and rows meet it on (identifier, order), so a hot identifier spreads over all tasks. The driver holds names
+of partitions and buckets only, whose numbers the partition expression and INDEX_BUCKETS bound.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from ..common import delete, fresh_dir, list_names, read_text, write_text_atomically
 
 _LAST = 2**63 - 1
+INDEX_BUCKETS = 32
 
 
 class DeliveryStore:
@@ -46,19 +50,27 @@ class DeliveryStore:
         return self.spark.read.parquet(*paths).select("row.*") if paths else None
 
     def superseded(self) -> DataFrame | None:
-        """Every delivery that lost, once."""
+        """Every delivery that lost, once, however often its batch came."""
         paths = [f"{self._version(v)}/kept=false/*" for v in self.manifest()["superseded"]]
-        return self.spark.read.parquet(*paths).select("row.*") if paths else None
-
-    def index(self) -> DataFrame | None:
-        """(key, p): the partition that holds the key's winner; later versions replace earlier ones."""
-        parts = [self.spark.read.parquet(f"{self.path}/index/v={v}").withColumn("_v", F.lit(v)) for v in self.manifest()["index"]]
+        if not paths:
+            return None
+        lost = self.spark.read.parquet(*paths).select("row", F.col(f"row.`{self.key}`").alias("k"), F.col(f"row.`{self.order}`").alias("o"))
+        return lost.dropDuplicates(["k", "o"]).select("row.*")
+
+    def index(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """(k, p): the partition that holds the key's winner, of all or of the given buckets; later versions replace earlier ones."""
+        parts = []
+        for v in self.manifest()["index"]:
+            entries = self.spark.read.schema("k string, p string, b int").parquet(f"{self.path}/index/v={v}")
+            entries = entries if buckets is None else entries.filter(F.col("b").isin(buckets))  # folders are pruned
+            parts.append(entries.select("k", "p", F.lit(v).alias("_v")))
         if not parts:
             return None
-        entries = parts[0]
-        for x in parts[1:]:
-            entries = entries.unionByName(x)
-        return entries if len(parts) == 1 else entries.groupBy("k").agg(F.max_by("p", "_v").alias("p"))
+        entries = reduce(DataFrame.unionByName, parts)
+        return entries.drop("_v") if len(parts) == 1 else entries.groupBy("k").agg(F.max_by("p", "_v").alias("p"))
+
+    def _write_index(self, entries: DataFrame, version: int) -> None:
+        entries.select("k", "p", _bucket().alias("b")).repartition("b").write.partitionBy("b").parquet(f"{self.path}/index/v={version}")
 
     def merge(self, batch: DataFrame) -> dict:
         """Takes in a batch of deliveries; gives the new manifest."""
@@ -72,8 +84,10 @@ class DeliveryStore:
 
         arriving = opened(batch)
         # 1. which historical partitions hold identifiers of this batch
+        came = arriving.agg(F.collect_set("p"), F.collect_set(F.when(F.col("k").isNotNull(), _bucket()))).first()  # bounded: partitions and buckets
+        gains = set(came[0])
         hit: list[str] = []
-        index = self.index()
+        index = self.index(came[1]) if old["index"] else None
         if index is not None:
             ids = arriving.select("k").filter("k is not null").distinct()
             hit = [r[0] for r in index.join(ids, "k", "left_semi").select("p").distinct().collect()]  # bounded by the number of partitions
@@ -86,7 +100,6 @@ class DeliveryStore:
         lost = named.filter("best is null").select("row", "p", F.lit(False).alias("kept"))
         flagged = kept.unionByName(lost).unionByName(rows.filter("k is null").select("row", "p", F.lit(True).alias("kept")))
         # 3. partitions that only gain rows take their old ones along
-        gains = {r[0] for r in arriving.select("p").distinct().collect()}  # bounded by the number of partitions
         extra = sorted((gains - set(hit)) & set(old["rows"]))
         if extra:
             flagged = flagged.unionByName(opened(self.winners(extra)).select("row", "p", F.lit(True).alias("kept")))
@@ -95,7 +108,7 @@ class DeliveryStore:
         # 4. the index learns where this version's winners are
         if written:
             now = opened(spark.read.parquet(*[f"{self._version(version)}/kept=true/p={_escape(p)}" for p in written]).select("row.*"))
-            now.select("k", "p").filter("k is not null").write.parquet(f"{self.path}/index/v={version}")
+            self._write_index(now.filter("k is not null"), version)
         touched = set(hit) | gains
         state = {
             "version": version,
@@ -106,13 +119,12 @@ class DeliveryStore:
         write_text_atomically(spark, f"{self.path}/_manifest/{version}.json", json.dumps(state))
         return state
 
-
     def compact(self) -> dict:
         """One index version instead of many, in a new manifest; then removes row versions of partitions that were replaced."""
         old = self.manifest()
         if len(old["index"]) > 1:
             version = old["version"] + 1
-            self.index().write.parquet(f"{self.path}/index/v={version}")
+            self._write_index(self.index(), version)
             state = old | {"version": version, "index": [version]}
             write_text_atomically(self.spark, f"{self.path}/_manifest/{version}.json", json.dumps(state))
         else:
@@ -128,6 +140,10 @@ class DeliveryStore:
         return state
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("k"), F.lit(INDEX_BUCKETS)).cast("int")
+
+
 def _escape(p: str) -> str:
     """As Spark writes a partition's folder."""
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in p)
@@ -165,10 +181,8 @@ def stored_messages(messages: DataFrame) -> DataFrame:
 
 
 def superseded_deliveries(messages: DataFrame) -> DataFrame:
-    """(id, seq) of every row whose id stands in a row with a smaller seq."""
-    rows = messages.select("id", "seq", "batch_id", "received_at").filter("id != ''")
-    store = replay(rows, partition=_month())
-    lost = store.superseded()
+    """(id, seq) of every row whose id stands in a row with a smaller seq: the losers of a store that whole message rows were loaded into."""
+    lost = replay(messages, partition=_month()).superseded()
     if lost is None:
         return messages.select("id", "seq").limit(0)
     return lost.select("id", "seq")

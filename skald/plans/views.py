@@ -55,4 +55,4 @@ def msg_events(spark: SparkSession, d: str) -> DataFrame:
 def messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """First deliveries with a session; ord is the timestamp as written, by which the model sorts."""
     df = read_table(spark, d, "messages").select(*dict.fromkeys(["seq", "id", "session_id", "role", "content", "timestamp", *columns]))
-    return single_deliveries(df.filter("session_id is not null")).withColumn("ord", F.coalesce("timestamp", F.lit("")))
+    return single_deliveries(df).filter("session_id is not null").withColumn("ord", F.coalesce("timestamp", F.lit("")))

@@ -90,3 +90,39 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert sorted((r.seq or 0) for r in store.superseded().collect()) == [0, 7]
     empty = spark.createDataFrame([], SCHEMA)
     assert superseded_deliveries(empty).count() == 0 and single_deliveries(empty).count() == 0
+
+
+def test_redelivered_batches_change_nothing(spark):
+    make = lambda x: spark.createDataFrame(x, "seq bigint, id string, p string")
+    store = DeliveryStore(spark, fresh_dir(spark, "t"), partition=F.col("p"))
+    batch = make([(1, "a", "x"), (2, "a", "y"), (3, "b", "x")])
+    for _ in range(3):
+        store.merge(batch)
+    assert sorted(r.seq for r in store.winners().collect()) == [1, 3]
+    assert [r.seq for r in store.superseded().collect()] == [2]
+    store.merge(make([(0, "a", "y")]))
+    store.merge(batch)
+    assert sorted(r.seq for r in store.winners().collect()) == [0, 3]
+    assert sorted(r.seq for r in store.superseded().collect()) == [1, 2]
+
+
+def test_a_merge_reads_touched_index_buckets_only(spark, monkeypatch):
+    make = lambda ids: spark.createDataFrame([(i, f"k{i}") for i in ids], "seq bigint, id string")
+    store = DeliveryStore(spark, fresh_dir(spark, "t"))
+    store.merge(make(range(500)))
+    asked, index = [], DeliveryStore.index
+    monkeypatch.setattr(DeliveryStore, "index", lambda self, buckets=None: asked.append(buckets) or index(self, buckets))
+    store.merge(spark.createDataFrame([(900, "k7"), (901, None)], "seq bigint, id string"))
+    assert [len(b) for b in asked] == [1] and [r.seq for r in store.superseded().collect()] == [900]
+
+
+def test_two_writers_of_one_version(spark):
+    import pytest
+
+    from skald.common import read_text, write_text_atomically
+
+    path = f"{fresh_dir(spark, 't')}/_manifest/1.json"
+    write_text_atomically(spark, path, "one")
+    with pytest.raises(RuntimeError):
+        write_text_atomically(spark, path, "two")
+    assert read_text(spark, path) == "one"
