@@ -3,7 +3,8 @@ import re
 
 import numpy as np
 
-from skald.llm.leakage import FMIndex, find_leaks, suffix_array
+from skald.common import fresh_dir
+from skald.llm.leakage import FMIndex, Shard, build_index, find_leaks, search_index, suffix_array
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -61,7 +62,7 @@ def test_spans_are_merged_and_in_code_points(spark):
 def test_index_against_plain_search():
     r = np.random.default_rng(2)
     stretches = [r.integers(1, 4, r.integers(1, 60)) for _ in range(30)] + [np.ones(80, np.int64)]
-    index = FMIndex(stretches, 4)
+    index = FMIndex.of(stretches, 4)
     phrases = r.integers(1, 4, (200, 5))
     live, lo, hi = index.search(phrases)
     found = {}
@@ -75,3 +76,23 @@ def test_index_against_plain_search():
 def test_suffix_array():
     s = np.array([3, 1, 3, 1, 3, 1, 0])
     assert suffix_array(s).tolist() == sorted(range(7), key=lambda i: s[i:].tolist())
+
+
+def test_two_test_sets_against_one_index(spark):
+    docs, items = data()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    source = fresh_dir(spark, "texts")
+    df.write.parquet(source)
+    path = build_index(spark.read.parquet(source), shard_words=200)
+    spark._jvm.org.apache.hadoop.fs.Path(source).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(source), True)
+    for some in (items[:15], items[15:]):
+        for n in (12, 8):
+            found = search_index(spark, path, spark.createDataFrame(some, "item_id bigint, passage string"), n, block_chars=800)
+            assert {(r.doc_id, r.item_id) for r in found.collect()} == brute(docs, some, n)
+
+
+def test_shards_as_bytes():
+    words = {"b": 1, "a": 2}
+    shard = Shard.of([5, 6], [np.array([[0, 1], [2, 1]]), np.array([[3, 1]])], [np.array([1, 2]), np.array([2])], words)
+    again = Shard.from_bytes(shard.to_bytes())
+    assert again.vocabulary == ["a", "b"] and again.owners.tolist() == [5, 6] and (again.index.bwt == shard.index.bwt).all() and (again.index.samples == shard.index.samples).all()
