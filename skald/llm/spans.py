@@ -7,16 +7,19 @@ start and CUT_WINDOW - 1 of its end, and no two cuts are further apart than CUT_
 whole chunk that both copies cut alike: no span can be lost.
 
 1. Chunks are deduplicated by a 64-bit digest: digests that two different texts have are candidates.
-2. A window of min_chars code points is a candidate if all chunks well inside it (out of reach of its edges) are shared. Candidate windows are
-   hashed over their whole length and the hashes compared between texts; a hash that two texts have marks min_chars shared code points.
-3. Per text the union of marked windows is counted.
+2. A window of min_chars code points is a candidate if all chunks well inside it (out of reach of its edges) are shared. Windows are told apart by their
+   anchor, the first cut that no text before the window can move, and by how far before it they begin. All windows of one anchor lie within a context of
+   LEFT + RIGHT code points and share a core around the anchor. Contexts (128-bit hash of the text) are counted per core: what two texts have as a whole context
+   is shared in all its windows; only where one core has several contexts, at the ends of shared stretches, single windows are compared, each
+   by 64 bits over its own text beside 64 bits of another hash over the core.
+3. Per text the union of shared windows is counted.
 
 Exact copies of a text are one text with several records until the end, where all of a copied text counts as shared.
 
 Defined results: null texts and texts shorter than min_chars share nothing; repeats within one record don't count; rows of one doc_id
-are one record; extra columns are ignored. Scale: digests and window hashes are pre-aggregated per piece of PIECE code points
-before their shuffle: what texts of one piece share is settled there, so boilerplate costs a row or two per piece; shared digests reach the tasks as a broadcast only
-while their number is within MAX_BROADCAST, else through a join.
+are one record; extra columns are ignored. Scale: a candidate stretch costs a row per chunk, not per character. Digests and contexts are
+pre-aggregated per piece of PIECE code points before their shuffle, so boilerplate costs two rows per piece, and a core with many contexts is aggregated, never
+collected; shared digests reach the tasks as a broadcast only while their number is within MAX_BROADCAST, else through a join.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ MIN_CHARS = 300
 GEAR = 32
 MAX_BROADCAST = 4_000_000
 PIECE = 2_000_000
-SETTLED, KNOWN, OPEN = 0, 1, 2
+CONTEXT, PLACE = 0, 1
 
 
 def cut_window(min_chars: int) -> int:
@@ -96,6 +99,7 @@ class Pieces:
         self.lengths = np.array([len(a) for a in arrays], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         codes = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
+        self.codes = codes
         gear, self.up, self.down = _tables(len(codes) + 1)
         value = gear[codes]
         h = (value >> np.uint64(32)).astype(np.uint32)
@@ -164,6 +168,41 @@ def candidate_windows(p: Pieces, shared, min_chars: int, window: int):
     return np.flatnonzero(room)
 
 
+_FOUND = "kind tinyint, core bigint, f1 bigint, f2 bigint, a bigint, b bigint, anchor bigint, near int, far int, digests array<bigint>"
+
+
+def anchored(p: Pieces, ids, at, min_chars: int, window: int):
+    """Candidate windows that begin at `at` as rows: each distinct context once, with the smallest and the largest record that has it, the distances from its
+    windows' beginnings to the anchor, from `far` down to `near`, and their digests; and each place of a context."""
+    import numpy as np
+    import pandas as pd
+    import xxhash
+
+    before = GEAR - 1 + window - 1
+    left, right = before + window - 1, min_chars - before
+    anchor = p.cuts[np.searchsorted(p.cuts, at + before)]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    c, far = anchor[first], anchor[first] - at[first]
+    last = np.concatenate([first[1:], [len(at)]])
+    near = c - at[last - 1]
+    k = np.searchsorted(p.starts, c, side="right") - 1
+    lo, hi = np.maximum(p.starts[k], c - left), np.minimum(p.starts[k + 1], c + right)
+    data = p.codes.view(np.uint8).data
+    spots = list(zip(c.tolist(), lo.tolist(), hi.tolist()))
+    # how much of a context a text's ends leave is part of its hash
+    full = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[4 * a : 4 * b], seed=(x - a << 32) + b - x) for x, a, b in spots), dtype=np.int64).reshape(-1, 2)
+    core = np.array([xxhash.xxh3_64_intdigest(data[4 * (x - before) : 4 * (x + min_chars - left)]) for x, _, _ in spots], dtype=np.uint64).view(np.int64)
+    w = p.digests(at, at + min_chars).view(np.int64)
+    u = ids[k]
+    _, one, place = np.unique(full, axis=0, return_index=True, return_inverse=True)
+    low, high = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(low, place.ravel(), u)
+    np.maximum.at(high, place.ravel(), u)
+    contexts = pd.DataFrame({"kind": CONTEXT, "core": core[one], "f1": full[one, 0], "f2": full[one, 1], "a": low, "b": high, "anchor": 0, "near": near[one], "far": far[one], "digests": [w[first[i] : last[i]] for i in one]})
+    places = pd.DataFrame({"kind": PLACE, "core": 0, "f1": full[:, 0], "f2": full[:, 1], "a": u, "b": u, "anchor": c - p.starts[k], "near": 0, "far": 0, "digests": None})
+    return pd.concat([contexts, places], ignore_index=True)
+
+
 def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc_id, shared_chars) of each record that has any."""
     spark = documents.sparkSession
@@ -240,38 +279,22 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
             p = Pieces(group, window)
             marks, held[:] = held[: len(ids)], held[len(ids) :]
             at = candidate_windows(p, flags(p, marks), min_chars, window)
-            if not len(at):
-                continue
-            k = np.searchsorted(p.starts, at, side="right") - 1
-            w = p.digests(at, at + min_chars).view(np.int64)
-            values, low, high, place = extremes(w, k)
-            several = low != high
-            done = several[place]
-            # what two texts of this piece share is settled here, as few stretches; one row tells other pieces of the window
-            first = np.flatnonzero(done & (np.concatenate([[True], ~done[:-1]]) | np.concatenate([[True], (np.diff(at) > 1) | (np.diff(k) > 0)])))
-            last = np.flatnonzero(done & (np.concatenate([~done[1:], [True]]) | np.concatenate([(np.diff(at) > 1) | (np.diff(k) > 0), [True]])))
-            u = np.asarray(ids, np.int64)
-            begin, end = at - p.starts[k], at - p.starts[k] + min_chars
-            known_w, open_ = values[several], ~done
-            stretch = _mix((u[k[first]].astype(np.uint64) << np.uint64(24)) + begin[first].astype(np.uint64)).view(np.int64)
-            kinds = np.repeat([SETTLED, KNOWN, OPEN], [len(first), len(known_w), int(open_.sum())])
-            yield pd.DataFrame(
-                {
-                    "w": np.concatenate([stretch, known_w, w[open_]]),
-                    "kind": kinds.astype(np.int8),
-                    "u": np.concatenate([u[k[first]], u[low[several]], u[k[open_]]]),
-                    "begin": np.concatenate([begin[first], np.zeros(len(known_w), np.int64), begin[open_]]),
-                    "end": np.concatenate([end[last], np.zeros(len(known_w), np.int64), end[open_]]),
-                }
-            )
-
-    found = flagged.mapInPandas(windows, "w bigint, kind tinyint, u bigint, begin bigint, end bigint")
-    # a window comes with one row per piece of text at most, whatever the number of records that share it
-    same = W.partitionBy("w")
-    seen = found.withColumns({"a": F.min("u").over(same), "b": F.max("u").over(same), "known": F.max((F.col("kind") == KNOWN).cast("int")).over(same)})
-    marked = seen.filter((F.col("kind") == SETTLED) | ((F.col("kind") == OPEN) & ((F.col("a") != F.col("b")) | (F.col("known") == 1)))).select("u", "begin", "end")
+            if len(at):
+                yield anchored(p, np.asarray(ids, np.int64), at, min_chars, window)
+
+    found = cut(flagged.mapInPandas(windows, _FOUND))
+    contexts = found.filter(F.col("kind") == CONTEXT).groupBy("core", "f1", "f2").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("near").alias("near"), F.max("far").alias("far"), F.min("digests").alias("d"))
+    contexts = cut(contexts)
+    whole = contexts.filter("a <> b").select("f1", "f2", "near", "far")
+    several = contexts.groupBy("core").agg(F.count("*").alias("n"), F.max((F.col("a") == F.col("b")).cast("int")).alias("open")).filter("n > 1 and open = 1").select("core")
+    single = cut(contexts.join(several, "core").select("core", "f1", "f2", "a", "b", F.posexplode("d").alias("i", "w"), "far").withColumn("j", F.col("far") - F.col("i")).drop("i", "far"))
+    met = single.groupBy("core", "j", "w").agg(F.min("a").alias("x"), F.max("b").alias("y")).filter("x <> y").select("core", "j", "w")
+    ends = single.filter("a = b").join(met, ["core", "j", "w"], "left_semi").groupBy("f1", "f2").agg(F.min("j").alias("near"), F.max("j").alias("far"))
+    # windows of one anchor overlap, so the nearest and the farthest shared one bound what they cover
+    places = found.filter(F.col("kind") == PLACE).select("f1", "f2", F.col("a").alias("u"), "anchor")
+    marked = places.join(whole.unionByName(ends), ["f1", "f2"]).select("u", (F.col("anchor") - F.col("far")).alias("begin"), (F.col("anchor") - F.col("near") + min_chars).alias("end"))
     before = F.max("end").over(W.partitionBy("u").orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(before, F.lit(0))))
-    counted = marked.select("u", fresh.alias("c")).groupBy("u").agg(F.sum("c").alias("c"))
+    counted = marked.select("u", fresh.alias("c")).groupBy("u").agg(F.sum("c").alias("c")).filter("c > 0")
     partly = counted.join(later.select("u").distinct(), "u", "left_anti").select(F.col("u").alias("doc_id"), F.col("c").cast("long").alias("shared_chars"))
     return partly.unionByName(later.select("doc_id", F.col("n").cast("long").alias("shared_chars")))
