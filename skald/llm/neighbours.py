@@ -7,9 +7,13 @@ probable parts a query visits is calibrated on the sample: the fewest for which
 With a similarity floor, pairs that are just so similar are made up from the sample, and it is enough that one of the two visits the other, as
 what one finds the other then knows as well; so each cell gives the k best of every row that asks and the k best askers of every row asked.
 
+The number of parts grows with the rows, so that a part keeps about PART_ROWS of them. Beyond MAX_PARTS one classifier chooses among groups of parts, and each group
+has a classifier of its own, fitted where its rows are, on at most SAMPLE_ROWS of them; their sizes are bounded by MAX_PARTS and SUB_PARTS.
+
 Searching: every row is indexed in its most probable part, and sent as a query to its further probable parts. Parts are cut into
-cells of bounded numbers of rows and of queries, each scored by one matrix product; a query's results from its cells are ranked
-together. Vectors in a query's own part are compared in single precision; what travels as a query to other parts is
+cells of bounded numbers of rows and of queries. Within its task a cell is parted again the same way, into leaves of about LEAF_ROWS, so that a query is
+compared with a few leaves by matrix products, or with the whole cell where its calibration asks for more than half of the leaves; a query's results
+from its cells are ranked together. Vectors in a query's own part are compared in single precision; what travels as a query to other parts is
 rounded to half precision (similarities are then off by about 2e-5).
 
 Exact copies of a vector are represented by the one with the smallest number and expanded afterwards, each copy meeting at most the k + 1
@@ -31,11 +35,14 @@ from pyspark.sql import functions as F
 from ..common import cut
 
 SAMPLE_ROWS = 16_384
-PART_ROWS = 2_048
-MAX_PARTS = 1_024
-CELL_ROWS = 4_096
-CELL_QUERIES = 32_768
+PART_ROWS = 16_384
+MAX_PARTS = 512
+SUB_PARTS = 256
+LEAF_ROWS = 1_024
+CELL_ROWS = 32_768
+CELL_QUERIES = 65_536
 TARGET_RECALL = 0.97
+LEAF_RECALL = 0.99
 MAX_BROADCAST = 2_000_000
 HIDDEN = 128
 
@@ -43,7 +50,7 @@ HIDDEN = 128
 class Router:
     """Which parts probably hold a vector's neighbours."""
 
-    def __init__(self, sample, parts: int, k: int, floor: float | None, target: float, seed: int = 7):
+    def __init__(self, sample, parts: int, k: int, floor: float | None, target: float, hidden: int = HIDDEN, epochs: int = 24, mutual: bool = True, seed: int = 7):
         import numpy as np
 
         self.parts, self.probes = parts, 1
@@ -52,15 +59,15 @@ class Router:
         rng = np.random.default_rng(seed)
         graph = neighbour_graph(sample, k)
         labels = balanced_parts(sample, graph, parts, rng)
-        self._fit(sample, graph, labels, rng)
-        self.probes = self._calibrate(sample, k, floor, target, rng)
+        self._fit(sample, graph, labels, rng, hidden, epochs)
+        self.probes = _calibrate(self, sample, k, floor, target, mutual, rng)
 
-    def _fit(self, x, graph, labels, rng, epochs: int = 24, batch: int = 256) -> None:
+    def _fit(self, x, graph, labels, rng, hidden: int, epochs: int, batch: int = 256) -> None:
         import numpy as np
 
         n, d = x.shape
         near = np.concatenate([labels[:, None], labels[graph]], axis=1)
-        shapes = [(d, HIDDEN), (HIDDEN,), (HIDDEN, self.parts), (self.parts,)]
+        shapes = [(d, hidden), (hidden,), (hidden, self.parts), (self.parts,)]
         w = [(rng.standard_normal(s) * (math.sqrt(2 / s[0]) if len(s) > 1 else 0)).astype(np.float32) for s in shapes]
         m, v, step = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
         for epoch in range(epochs):
@@ -101,26 +108,80 @@ class Router:
             top = np.tile(np.arange(self.parts), (len(x), 1))
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(z, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
 
-    def _calibrate(self, sample, k: int, floor: float | None, target: float, rng) -> int:
+    def places(self, x, parts):
+        """How many parts are more probable than the given one of each row."""
         import numpy as np
 
-        asked = sample[rng.permutation(len(sample))[:2000]]
-        if floor is not None:
-            noise = rng.standard_normal(asked.shape).astype(np.float32)
-            noise -= (noise * asked).sum(1, keepdims=True) * asked
-            noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-            twins = (floor * asked + math.sqrt(1 - floor * floor) * noise)[:, None]
-        else:
-            twins = sample[nearest(asked[:500], sample, k + 1)[:, 1:]]
-            asked = asked[:500]
-        home = self.route(twins.reshape(-1, sample.shape[1]), 1).reshape(twins.shape[:2])
-        place = np.argsort(np.argsort(-self.scores(asked), axis=1), axis=1)
-        needed = np.take_along_axis(place, home.astype(np.int64), 1).ravel() + 1
-        if floor is not None:  # such a pair is found if either of the two visits the other
-            back = np.argsort(np.argsort(-self.scores(twins[:, 0]), axis=1), axis=1)
-            needed = np.minimum(needed, back[np.arange(len(asked)), self.route(asked, 1)[:, 0]] + 1)
-        needed = np.sort(needed)
-        return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)])
+        z = self.scores(x)
+        return (z > np.take_along_axis(z, parts[:, None].astype(np.int64), 1)).sum(1)
+
+
+class Tree:
+    """Routers of groups of parts below one that chooses among the groups; part numbers are group * width + part."""
+
+    def __init__(self, root: Router, leaves: dict[int, Router], width: int):
+        self.root, self.leaves, self.width = root, leaves, width
+        self.parts, self.probes = root.parts * width, 1
+
+    @staticmethod
+    def _log(z):
+        import numpy as np
+
+        z = z - z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def _within(self, group: int, x):
+        """Log probabilities of the group's parts; groups without a router of their own have one part."""
+        import numpy as np
+
+        leaf = self.leaves.get(group)
+        return np.zeros((len(x), 1), np.float32) if leaf is None or leaf.parts == 1 else self._log(leaf.scores(x))
+
+    def route(self, x, probes: int):
+        import numpy as np
+
+        top = self._log(self.root.scores(x))
+        groups = self.root.route(x, min(self.root.parts, probes + 2))
+        score = np.full((len(x), groups.shape[1] * self.width), -np.inf, np.float32)
+        part = np.zeros(score.shape, np.int64)
+        for g in np.unique(groups):
+            r, j = np.nonzero(groups == g)
+            z = self._within(int(g), x[r])
+            at = j[:, None] * self.width + np.arange(z.shape[1])
+            score[r[:, None], at] = z + top[r, g][:, None]
+            part[r[:, None], at] = g * self.width + np.arange(z.shape[1])
+        best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        part, score = np.take_along_axis(part, best, 1), np.take_along_axis(score, best, 1)
+        return np.where(np.isfinite(score), part, part[:, :1]).astype(np.int32)
+
+    def places(self, x, parts):
+        import numpy as np
+
+        top, own = self._log(self.root.scores(x)), np.zeros(len(x), np.float32)
+        inside = [self._within(g, x) + top[:, g : g + 1] for g in range(self.root.parts)]
+        for i, p in enumerate(parts.tolist()):
+            own[i] = inside[p // self.width][i, p % self.width]
+        return sum((z > own[:, None]).sum(1) for z in inside)
+
+
+def _calibrate(model, sample, k: int, floor: float | None, target: float, mutual: bool, rng, most: int = 2000) -> int:
+    """How many parts are to be visited so that the share `target` of neighbours is found."""
+    import numpy as np
+
+    asked = sample[rng.permutation(len(sample))[: most if floor is not None else most // 4]]
+    if floor is not None:
+        noise = rng.standard_normal(asked.shape).astype(np.float32)
+        noise -= (noise * asked).sum(1, keepdims=True) * asked
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        twins = floor * asked + math.sqrt(1 - floor * floor) * noise
+    else:
+        near = nearest(asked, sample, k + 1)[:, 1:]
+        twins, asked = sample[near.ravel()], np.repeat(asked, near.shape[1], axis=0)
+    needed = model.places(asked, model.route(twins, 1)[:, 0]) + 1
+    if floor is not None and mutual:  # such a pair is found if either of the two visits the other
+        needed = np.minimum(needed, model.places(twins, model.route(asked, 1)[:, 0]) + 1)
+    needed = np.sort(needed)
+    return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)])
 
 
 def nearest(queries, x, k: int):
@@ -220,7 +281,7 @@ def _matrix(column, dtype, dims: int):
     return np.concatenate(out).astype(np.float32) if out else np.zeros((0, dims), np.float32)
 
 
-def top_neighbours(vectors: DataFrame, k: int = 10, dims: int = 64, floor: float | None = None, queries=None, target: float = TARGET_RECALL, part_rows: int = PART_ROWS) -> DataFrame:
+def top_neighbours(vectors: DataFrame, k: int = 10, dims: int = 64, floor: float | None = None, queries=None, target: float = TARGET_RECALL, part_rows: int = PART_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
     """(q, s, similarity, rank) for rows (n, v): of each vector q its k most similar others s.
 
     floor: only similarities of at least that. queries: a condition on n for the vectors to ask for; all by default."""
@@ -234,7 +295,7 @@ def top_neighbours(vectors: DataFrame, k: int = 10, dims: int = 64, floor: float
     total = rows.count()
 
     def look(rows: DataFrame, queries) -> DataFrame:
-        found = _search(rows, total, k, dims, floor, queries, target, part_rows)
+        found = _search(rows, total, k, dims, floor, queries, target, part_rows, max_parts)
         if floor is not None and queries is None:  # what one of a pair finds, the other knows as well
             found = found.unionByName(found.select(F.col("s").alias("q"), F.col("q").alias("s"), "similarity")).groupBy("q", "s").agg(F.max("similarity").alias("similarity"))
         return _rank(found, k)
@@ -263,19 +324,58 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _search(rows: DataFrame, total: int, k: int, dims: int, floor: float | None, queries, target: float, part_rows: int) -> DataFrame:
+def _bounded_sample(rows: DataFrame, share: float) -> DataFrame:
+    return rows.filter(F.pmod(F.xxhash64(F.col("n"), F.lit(11)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+
+
+def _fit_model(rows: DataFrame, total: int, k: int, dims: int, floor: float | None, target: float, part_rows: int, max_parts: int):
+    """A Router for at most max_parts parts, else a Tree."""
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    parts = max(1, total // part_rows)
+    if parts == 1:
+        return Router(None, 1, k, floor, target)
+    groups = parts if parts <= max_parts else min(max_parts, max(2, math.ceil(parts / SUB_PARTS)))
+    wanted = min(SAMPLE_ROWS, max(8192, 64 * groups))
+    batches = _bounded_sample(rows, wanted / max(1, total)).toArrow().combine_chunks().to_batches()  # about SAMPLE_ROWS vectors
+    x = _vectors(batches[0], dims)[1] if batches else np.zeros((0, dims), np.float32)
+    if len(x) < 8 * groups:
+        groups = max(1, len(x) // 8)
+    root = Router(x, groups, k, floor, target)
+    width = min(SUB_PARTS, math.ceil(parts / groups))
+    if groups == parts or groups == 1 or width == 1:
+        return root
+    shared = rows.sparkSession.sparkContext.broadcast(root)
+
+    def group(batches: Iterator) -> Iterator:
+        for b in batches:
+            if b.num_rows:
+                n, v = _vectors(b, dims)
+                if len(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value.route(v, 1)[:, 0].astype(np.int32)), _binary(v)], ["part", "v"])
+
+    def fit(key, table):
+        v = _matrix(table.column("v"), np.float32, dims)
+        count = min(width, len(v) // 8)
+        made = pickle.dumps(Router(v, count, k, floor, target, hidden=64, epochs=12)) if count > 1 else b""
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([made], pa.binary())})
+
+    some = _bounded_sample(rows, SAMPLE_ROWS * groups / max(1, total))  # about SAMPLE_ROWS of each group, as groups are balanced
+    models = some.mapInArrow(group, "part int, v binary").groupBy("part").applyInArrow(fit, "part int, model binary").collect()  # one of at most 64 KB + 256 B * SUB_PARTS for each group
+    tree = Tree(root, {r.part: pickle.loads(r.model) for r in models if r.model}, width)
+    tree.probes = _calibrate(tree, x, k, floor, target, True, np.random.default_rng(7), 500)
+    return tree
+
+
+def _search(rows: DataFrame, total: int, k: int, dims: int, floor: float | None, queries, target: float, part_rows: int, max_parts: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
     spark = rows.sparkSession
-    parts = max(1, min(MAX_PARTS, total // part_rows))
-    wanted = min(SAMPLE_ROWS, max(4096, 64 * parts))
-    share = min(1.0, wanted / max(1, total))
-    sample = rows.filter(F.pmod(F.xxhash64(F.col("n"), F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))) if parts > 1 else rows.limit(0)
-    _, x = _vectors(sample.toArrow().combine_chunks().to_batches()[0] if parts > 1 else pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float32()))}), dims)
-    if len(x) < 8 * parts:
-        parts = max(1, len(x) // 8)
-    model = Router(x, parts, k, floor, target)
+    model = _fit_model(rows, total, k, dims, floor, target, part_rows, max_parts)
     shared = spark.sparkContext.broadcast(model)
     some = queries is not None
     asked = queries(F.col("n")) if some else F.lit(True)
@@ -291,7 +391,8 @@ def _search(rows: DataFrame, total: int, k: int, dims: int, floor: float | None,
                 ask = np.isin(n, b.column("n").filter(b.column("ask")).to_numpy()) if some else np.ones(len(n), bool)
                 seen[:, 0] += np.bincount(to[:, 0], minlength=model.parts)
                 seen[:, 1] += np.bincount(to[ask].ravel(), minlength=model.parts)
-        yield pa.RecordBatch.from_pydict({"part": np.arange(model.parts, dtype=np.int32), "rows": seen[:, 0], "asked": seen[:, 1]})
+        part = np.flatnonzero(seen.any(1)).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"part": part, "rows": seen[part, 0], "asked": seen[part, 1]})
 
     per_part = rows.mapInArrow(counts, "part int, rows bigint, asked bigint").groupBy("part").agg(F.sum("rows").alias("rows"), F.sum("asked").alias("asked")).collect()  # one row per part
     blocks = np.ones((model.parts, 2), np.int64)
@@ -315,7 +416,7 @@ def _search(rows: DataFrame, total: int, k: int, dims: int, floor: float | None,
             for lane in range(int(blocks[home, 1].max())):
                 pick = blocks[home, 1] > lane
                 yield _rows(home[pick], own_block[pick], lane, np.where(ask[pick] & (lanes[pick] == lane), 1, 0), n[pick], _binary(x[pick]))
-            half = _halves(x)
+            half = x.astype(np.float16)
             for j in range(to.shape[1]):
                 part = to[:, j]
                 for block in range(int(blocks[part, 0].max())):
@@ -333,25 +434,40 @@ def _search(rows: DataFrame, total: int, k: int, dims: int, floor: float | None,
         asking = (own.column("kind").to_numpy() == 1)[first]
         q = np.concatenate([index[asking], _matrix(sent.column("v"), np.float16, dims)])
         q_n = np.concatenate([index_n[asking], sent.column("n").to_numpy()])
-        out = []
-        for i in range(0, len(q), 2048):
-            s = q[i : i + 2048] @ index.T
-            r, c = _best(s, q_n[i : i + 2048], index_n, k, floor)
-            out.append((q_n[i : i + 2048][r], index_n[c], s[r, c]))
-        a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        if floor is not None and len(out) > 1:  # the blocks of askers together
-            keep = _near(a, b, s, k)
-            a, b, s = a[keep], b[keep], s[keep]
+        a, b, s = compare(index, index_n, q, q_n, k, floor)
         return pa.table({"q": a.astype(np.int64), "s": b.astype(np.int64), "similarity": s.astype(np.float32)})
 
     placed = rows.mapInArrow(place, "part int, block int, lane int, kind int, n bigint, v binary")
     return placed.groupBy("part", "block", "lane").applyInArrow(cell, "q bigint, s bigint, similarity float")
 
 
-def _halves(x):
+def compare(index, index_n, q, q_n, k: int, floor: float | None, leaf_rows: int = LEAF_ROWS):
+    """(query, row, similarity) of a cell: each query with its k best rows, with a floor also each row with its k best queries."""
     import numpy as np
 
-    return x.astype(np.float16)
+    leaves = len(index) // leaf_rows
+    if leaves < 4 or len(q) < 8:
+        pieces = [(np.arange(len(q)), np.arange(len(index)))]
+    else:
+        rng = np.random.default_rng(5)
+        model = Router(index[rng.permutation(len(index))[: max(4096, 64 * leaves)]], leaves, k, floor, LEAF_RECALL, hidden=64, epochs=12, mutual=False)
+        if 2 * model.probes > leaves:
+            pieces = [(np.arange(len(q)), np.arange(len(index)))]
+        else:
+            home, to = model.route(index, 1)[:, 0], model.route(q, model.probes)
+            pieces = [(np.flatnonzero((to == p).any(1)), np.flatnonzero(home == p)) for p in range(leaves)]
+    out = []
+    for asking, there in pieces:
+        for i in range(0, len(asking) if len(there) else 0, 2048):
+            some = asking[i : i + 2048]
+            s = q[some] @ index[there].T
+            r, c = _best(s, q_n[some], index_n[there], k, floor)
+            out.append((q_n[some][r], index_n[there[c]], s[r, c]))
+    a, b, s = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    if len(out) > 1:  # the blocks and leaves together
+        keep = _near(a, b, s, k, floor is not None)
+        a, b, s = a[keep], b[keep], s[keep]
+    return a, b, s
 
 
 def _rows(part, block, lane, kind, n, v):
@@ -381,12 +497,12 @@ def _best(s, q_n, index_n, k: int, floor: float | None):
     return r[keep], c[keep]
 
 
-def _near(q, s, similarity, k: int):
-    """Which pairs are among the k best of the one that asks or of the one that is met."""
+def _near(q, s, similarity, k: int, both: bool = True):
+    """Which pairs are among the k best of the one that asks or, with both, of the one that is met."""
     import numpy as np
 
     keep = np.zeros(len(q), bool)
-    for one, other in ((q, s), (s, q)):
+    for one, other in ((q, s), (s, q))[: 1 + both]:
         order = np.lexsort((other, -similarity, one))
         sorted_ = one[order]
         keep[order] |= np.arange(len(q)) - np.searchsorted(sorted_, sorted_) < k

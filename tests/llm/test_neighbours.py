@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skald.llm.neighbours import _best, balanced_parts, close_pairs, message_vectors, neighbour_graph, top_neighbours
+from skald.llm.neighbours import Router, Tree, _best, balanced_parts, close_pairs, compare, message_vectors, neighbour_graph, top_neighbours
 
 DIMS = 16
 
@@ -113,3 +113,33 @@ def test_parts_are_balanced():
 def test_message_vectors_are_first_deliveries(spark):
     df = spark.createDataFrame([(1, "a", [1.0] * DIMS), (2, "a", [1.0] * DIMS), (3, None, [2.0] * DIMS), (4, "", [2.0] * 3)], "seq bigint, id string, embedding array<float>")
     assert sorted(r.n for r in message_vectors(df, DIMS).select(F.col("n")).collect()) == [1, 3]
+
+
+def test_groups_of_parts_below_one_router(spark):
+    x = clustered(4000, 3).astype(np.float32)
+    df = frame(spark, enumerate(x.tolist()))
+    expected = brute_pairs(list(range(len(x))), unit(x.astype(np.float64)), 10, 0.9)
+    rows = top_neighbours(df, 10, DIMS, 0.9, part_rows=150, max_parts=3).collect()
+    found = {(min(r.q, r.s), max(r.q, r.s)) for r in rows}
+    assert len(found & expected) >= 0.97 * len(expected) and not found - expected
+
+
+def test_tree_routes_by_the_same_order_as_it_counts_places():
+    r = np.random.default_rng(4)
+    x = unit(r.standard_normal((1500, DIMS))).astype(np.float32)
+    root = Router(x, 3, 10, 0.87, 0.9, epochs=2)
+    home = root.route(x, 1)[:, 0]
+    tree = Tree(root, {g: Router(x[home == g], 4, 10, 0.87, 0.9, hidden=16, epochs=2) for g in range(2)}, 4)
+    to = tree.route(x[:200], 9)
+    for i in range(9):
+        assert (tree.places(x[:200], to[:, i]) == i).all()
+    assert set(to.ravel().tolist()) <= set(range(9))
+
+
+def test_leaves_of_a_cell_against_the_whole_cell():
+    x = unit(clustered(6000, 6)).astype(np.float32)
+    ids = np.arange(len(x))
+    for floor in (0.9, None):
+        whole = set(zip(*(v.tolist() for v in compare(x, ids, x[:3000], ids[:3000], 10, floor, 10**6)[:2])))
+        parted = set(zip(*(v.tolist() for v in compare(x, ids, x[:3000], ids[:3000], 10, floor, 300)[:2])))
+        assert len(whole & parted) >= 0.98 * len(whole)
