@@ -38,11 +38,11 @@ SAMPLE_ROWS = 16_384
 PART_ROWS = 16_384
 MAX_PARTS = 512
 SUB_PARTS = 256
-LEAF_ROWS = 1_024
+LEAF_ROWS = 512
 CELL_ROWS = 32_768
 CELL_QUERIES = 65_536
 TARGET_RECALL = 0.97
-LEAF_RECALL = 0.99
+LEAF_RECALL = 0.97
 MAX_BROADCAST = 2_000_000
 HIDDEN = 128
 
@@ -490,7 +490,7 @@ def _best(s, q_n, index_n, k: int, floor: float | None):
         c = c.ravel()
         real = s[r, c] > -1.5
         return r[real], c[real]
-    r, c = np.nonzero(s >= floor)
+    r, c = np.divmod(np.flatnonzero((s >= floor).ravel()), s.shape[1])
     other = q_n[r] != index_n[c]
     r, c = r[other], c[other]
     keep = _near(q_n[r], index_n[c], s[r, c], k)
