@@ -1,15 +1,18 @@
 """Problem 6: personal information inside free text.
 
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their forms. Persons are found through the corpus: the list of
-names is incomplete, so co-occurrence over all texts estimates how strongly each other term discloses a person: of all its
-occurrences, the share that stands beside a known given or family name, or an initial, in one of the forms of a full name. Terms above
-the disclosure threshold join the list, in rounds until no new one comes, as what they stand beside may be new as well. Full names made of
-listed and learned parts are then replaced, all details by typed placeholders.
+names is incomplete, so co-occurrence over all texts estimates how many bits each other term discloses about a person. With P(person) the share of
+all words that stand in a full name made of listed parts, and P(person | term) the share of a term's occurrences that stand beside a known given or family
+name, or an initial, in one of the forms of a full name, a term's information is log2(P(person | term) / P(person)), and what remains uncertain is
+-log2 P(person | term). Terms with at least MIN_BITS of information and at most MAX_LEFT bits left join the list, in rounds until no
+new one comes, as what they stand beside may be new as well. Full names made of listed and learned parts are then replaced, all details by typed
+placeholders. `generalise` also replaces names that stand alone by [NAME]; it is off by default, as a lone name is to stay.
 
 Defined results: null, empty and blank contents hold nothing; details are distinct per row and kind; where two overlap, e-mail comes
 before identity number, phone, address and person, and a name inside another detail is no person; repeated rows each get their own; extra columns
-are ignored. Scale: two passes over the text, no shuffle of text; term counts are added up per task first; the list reaches the
-tasks as a broadcast while it is within MAX_TERMS, beyond that candidates are joined with it.
+are ignored. Scale: one pass over all texts gives details by form and counts, added up per task before any shuffle; texts with a family name, picked in
+the JVM, are looked at again for persons. No text is shuffled; the list reaches the tasks as a broadcast while it is within MAX_TERMS, beyond that candidates
+are joined with it; the result is the same.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 from ..common import cut, small_or_none, spread
 from . import pii_rules as rules
 
-THRESHOLD = 0.3
+MIN_BITS, MAX_LEFT = 1.0, 1.75
 MAX_TERMS = 500_000
+MAX_PICKED = 4_000
 KINDS = ("email", "id_number", "phone", "address", "person")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+WORD_START = re.compile(r"[^\W\d_]+")
 _SPACE = r"[  ]"
 _MIDDLE = re.compile(rf"{_SPACE}(?:[^\W\d_]\.?{_SPACE}){{1,2}}\Z")
 _AFTER = re.compile(rf"{_SPACE}[^\W\d_]\.")
@@ -111,56 +116,109 @@ def persons(text: str, words: list, blocked: list[tuple[int, int, str]], given,
     return out
 
 
-def learn_names(messages: DataFrame, names: DataFrame, threshold: float = THRESHOLD, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, part, disclosure): listed terms have disclosure 1. part is given or family.
+def _notable(words: list, known) -> Iterator[list]:
+    """Runs of neighbouring words that may be parts of a name: capitals, single letters, known words and the two beside them."""
+    run, at = [], -2
+    marked = set()
+    for i, m in enumerate(words):
+        w = m.group()
+        if known is None or w.lower() in known:
+            marked.update((i - 2, i - 1, i, i + 1, i + 2))
+        elif not w[0].islower() or len(w) == 1:
+            marked.add(i)
+    for i in sorted(marked):
+        if 0 <= i < len(words):
+            if i != at + 1 and run:
+                yield run
+                run = []
+            run.append(words[i])
+            at = i
+    if run:
+        yield run
 
-    Pairs are neighbouring words of one letter case in a form of a full name; pairs in lower case count where one of the two is
-    listed. Terms and pairs are counted over all texts."""
-    spark = messages.sparkSession
-    listed = names.filter("name is not null and name_part in ('given', 'family')").select(F.lower("name").alias("term"), F.col("name_part").alias("part")).distinct()
-    few = small_or_none(listed.select("term").distinct(), max_terms)
-    known = spark.sparkContext.broadcast({r[0] for r in few} if few is not None else None)  # at most max_terms words
+
+_PASS = "g string, f string, lower boolean, n bigint, seq bigint, kind string, value string, begin int, end int"
+
+
+def _first_pass(messages: DataFrame, known) -> DataFrame:
+    """Over all texts (seq, content): how often each term stands (g), and each pair (g, f) in a form of a full name, with whether it is written in lower case; and
+    the details that have a form."""
 
     def count(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        listed = known.value
         seen: Counter = Counter()
         pairs: Counter = Counter()
+        names = [x.split()[0] for x in _PASS.split(", ")]
 
         def flush():
-            rows = [(t, None, False, n) for t, n in seen.items()] + [(*k, n) for k, n in pairs.items()]
+            rows = [(t, None, False, n, None, None, None, None, None) for t, n in seen.items()] + [(*k, n, None, None, None, None, None) for k, n in pairs.items()]
             seen.clear()
             pairs.clear()
-            return pd.DataFrame(rows, columns=["g", "f", "lower", "n"])
+            return _typed(pd.DataFrame(rows, columns=names))
 
         for b in batches:
-            for text in b["content"]:
+            found = []
+            for seq, text in zip(b["seq"], b["content"]):
                 blocked = fixed_details(text)
+                found += [(None, None, None, None, seq, k, text[x:y], x, y) for x, y, k in blocked]
                 words = list(WORD.finditer(text))
-                seen.update(m.group().lower() for m in words if not any(x < m.end() and m.start() < y for x, y, _ in blocked))
-                for begin, end, g, f, swapped in name_pairs(text, words, blocked):
-                    if swapped or len(g) < 2 or len(f) < 2:
-                        continue
-                    value = text[begin:end]
-                    lower = value.islower()
-                    if lower:
-                        if known.value is not None and g not in known.value and f not in known.value:
+                if blocked:
+                    words = [m for m in words if not any(x < m.end() and m.start() < y for x, y, _ in blocked)]
+                seen.update(m.group().lower() for m in words)
+                for run in _notable(words, listed):
+                    for begin, end, g, f, swapped in name_pairs(text, run, ()):
+                        if swapped or len(g) < 2 or len(f) < 2:
+                            continue
+                        value = text[begin:end]
+                        lower = value.islower()
+                        if lower:
+                            if listed is not None and g not in listed and f not in listed:
+                                continue
+                        elif not value.isupper() and not (text[begin].isupper() and all(w[0].isupper() for w in WORD.findall(value))):
                             continue
-                    elif not value.isupper() and not (text[begin].isupper() and all(w[0].isupper() for w in WORD.findall(value))):
-                        continue
-                    pairs[g, f, lower] += 1
+                        pairs[g, f, lower] += 1
                 for m in words:
                     f = m.group()
-                    if len(f) > 1 and not f.islower() and not any(x < m.end() and m.start() < y for x, y, _ in blocked):
+                    if not f.islower() and len(f) > 1:
                         beside = text[m.start() - 1 : m.start()] in (" ", "\u00a0") and _INITIALS.search(text, max(0, m.start() - 6), m.start())
                         if beside and beside.group()[0].isupper() or _COMMA_INITIAL.match(text, m.end()):
                             pairs["", f.lower(), False] += 1
+            if found:
+                yield _typed(pd.DataFrame(found, columns=names))
             if len(seen) + len(pairs) > 200_000:
                 yield flush()
         yield flush()
 
-    texts = spread(messages.select("content").filter(F.length("content") > 0))
-    counted = cut(texts.mapInPandas(count, "g string, f string, lower boolean, n bigint").groupBy("g", "f", "lower").agg(F.sum("n").alias("n")))
+    return cut(spread(messages.filter(F.length("content") > 0)).mapInPandas(count, _PASS))
+
+
+def _typed(frame):
+    return frame.astype({"lower": "boolean", "n": "Int64", "seq": "Int64", "begin": "Int32", "end": "Int32"})
+
+
+def _listed(names: DataFrame) -> DataFrame:
+    return names.filter("name is not null and name_part in ('given', 'family')").select(F.lower("name").alias("term"), F.col("name_part").alias("part")).distinct()
+
+
+def learn_names(messages: DataFrame, names: DataFrame, min_bits: float = MIN_BITS, max_left: float = MAX_LEFT, max_terms: int = MAX_TERMS) -> DataFrame:
+    """(term, part, bits, left): information of each term about a person and what remains uncertain; listed terms have no bits left, and bits null. part is
+    given or family.
+
+    Pairs are neighbouring words of one letter case in a form of a full name; pairs in lower case count where one of the two is
+    listed. Terms and pairs are counted over all texts."""
+    return _learn(messages.select(F.lit(None).cast("bigint").alias("seq"), "content"), names, min_bits, max_left, max_terms)[0]
+
+
+def _learn(messages: DataFrame, names: DataFrame, min_bits: float, max_left: float, max_terms: int) -> tuple[DataFrame, DataFrame]:
+    """The list, and the first pass."""
+    spark = messages.sparkSession
+    listed = _listed(names)
+    few = small_or_none(listed.select("term").distinct(), max_terms)
+    known = spark.sparkContext.broadcast({r[0] for r in few} if few is not None else None)  # at most max_terms words
+    first = _first_pass(messages, known)
+    counted = cut(first.filter("kind is null").groupBy("g", "f", "lower").agg(F.sum("n").alias("n")))
     terms = counted.filter("f is null").select(F.col("g").alias("term"), F.col("n").alias("c"))
     pairs = counted.filter("f is not null")
     if few is None:  # the list is too long for the tasks to look into
@@ -168,50 +226,66 @@ def learn_names(messages: DataFrame, names: DataFrame, threshold: float = THRESH
         for side in ("g", "f"):
             pairs = pairs.join(words.select(F.col("term").alias(side), F.lit(True).alias(f"listed_{side}")), side, "left")
         pairs = cut(pairs.filter("not lower or listed_g or listed_f").select("g", "f", "n"))
-    lexicon = cut(listed.withColumn("disclosure", F.lit(1.0)))
+    part = lambda p, c: listed.filter(F.col("part") == p).select(F.col("term").alias(c))
+    sure = pairs.join(part("given", "g"), "g", "left_semi").join(part("family", "f"), "f", "left_semi").agg(F.sum("n")).first()[0] or 0
+    total = terms.agg(F.sum("c")).first()[0] or 1
+    person = max(2 * sure, 1) / total
+    lexicon = cut(listed.select("term", "part", F.lit(None).cast("double").alias("bits"), F.lit(0.0).alias("left")))
     while True:
         found = None
-        for part, other, mine, beside in (("family", "given", "f", "g"), ("given", "family", "g", "f")):
+        for part_, other, mine, beside in (("family", "given", "f", "g"), ("given", "family", "g", "f")):
             anchors = lexicon.filter(F.col("part") == other).select(F.col("term").alias(beside)).union(spark.createDataFrame([("",)], "t string"))  # "" stands for an initial
-            hits = pairs.join(anchors, beside, "left_semi").groupBy(F.col(mine).alias("term")).agg(F.sum("n").alias("j"))
-            share = hits.join(terms, "term").select("term", F.lit(part).alias("part"), F.least(F.lit(1.0), F.col("j") / F.col("c")).alias("disclosure")).filter(F.col("disclosure") >= threshold)
-            share = share.filter("term <> ''")
-            found = share if found is None else found.unionByName(share)
+            hits = pairs.join(anchors, beside, "left_semi").groupBy(F.col(mine).alias("term")).agg(F.sum("n").alias("j")).filter("term <> ''")
+            share = F.least(F.lit(1.0), F.col("j") / F.col("c"))
+            scored = hits.join(terms, "term").select("term", F.lit(part_).alias("part"), F.log2(share / person).alias("bits"), (-F.log2(share)).alias("left"))
+            scored = scored.filter((F.col("bits") >= min_bits) & (F.col("left") <= max_left))
+            found = scored if found is None else found.unionByName(scored)
         new = cut(found.join(lexicon.select("term", "part"), ["term", "part"], "left_anti"))
         if new.isEmpty():
-            break
+            return lexicon, first
         lexicon = cut(lexicon.unionByName(new))
-    return lexicon
 
 
 _DETAIL = "seq bigint, kind string, value string, begin int, end int"
 
 
-def find_details(messages: DataFrame, names: DataFrame, threshold: float = THRESHOLD, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(seq, kind, value, begin, end) of every detail in content (seq, content), by position in code points."""
-    lexicon = learn_names(messages, names, threshold, max_terms=max_terms)
+def _lone(words: list, taken: list[tuple], given, family) -> list[tuple[int, int]]:
+    """Names that stand alone, not written in lower case."""
+    parts = (m for m in words if not m.group().islower() and (m.group().lower() in family or m.group().lower() in given))
+    return [m.span() for m in parts if not any(t[0] < m.end() and m.start() < t[1] for t in taken)]
+
+
+def find_details(messages: DataFrame, names: DataFrame, min_bits: float = MIN_BITS, max_left: float = MAX_LEFT, max_terms: int = MAX_TERMS, generalise: bool = False) -> DataFrame:
+    """(seq, kind, value, begin, end) of every detail in content (seq, content), by position in code points; with generalise also of kind name."""
+    texts = messages.select("seq", "content").filter(F.length("content") > 0)
+    lexicon, first = _learn(texts, names, min_bits, max_left, max_terms)
+    formed = first.filter("kind is not null").select("seq", "kind", "value", "begin", "end")
     rows = small_or_none(lexicon.select("term", "part"), max_terms)
-    texts = spread(messages.select("seq", "content").filter(F.length("content") > 0))
-    shared = messages.sparkSession.sparkContext.broadcast(None if rows is None else tuple(frozenset(r[0] for r in rows if r[1] == p) for p in ("given", "family")))
+    if rows is None:
+        return formed.unionByName(_persons_by_join(texts, lexicon, generalise))
+    given, family = (frozenset(r[0] for r in rows if r[1] == p) for p in ("given", "family"))
+    shared = messages.sparkSession.sparkContext.broadcast((given, family))
+    picked = sorted({WORD_START.search(w).group() for w in (family | given if generalise else family) if WORD_START.search(w)})
+    if len(picked) <= MAX_PICKED:  # a term's first letters stand in each text that holds the term
+        texts = texts.filter(F.arrays_overlap(F.split(F.lower("content"), r"[^\p{L}]+"), F.array(*[F.lit(w) for w in picked]).cast("array<string>")))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for b in batches:
-            out = []
-            for seq, text in zip(b["seq"], b["content"]):
-                blocked = fixed_details(text)
-                out += [(seq, k, text[x:y], x, y) for x, y, k in blocked]
-                if shared.value is not None:
-                    words = list(WORD.finditer(text))
-                    out += [(seq, "person", text[x:y], x, y) for x, y in persons(text, words, blocked, *shared.value)]
-            yield pd.DataFrame(out, columns=["seq", "kind", "value", "begin", "end"])
+            yield pd.DataFrame([x for seq, text in zip(b["seq"], b["content"]) for x in _named(seq, text, *shared.value, generalise)], columns=["seq", "kind", "value", "begin", "end"])
+
+    return formed.unionByName(spread(texts).mapInPandas(run, _DETAIL))
+
 
-    found = texts.mapInPandas(run, _DETAIL)
-    return found if rows is not None else found.unionByName(_persons_by_join(texts, lexicon))
+def _named(seq: int, text: str, given, family, generalise: bool) -> list[tuple]:
+    words, blocked = list(WORD.finditer(text)), fixed_details(text)
+    full = persons(text, words, blocked, given, family)
+    out = [(seq, "person", text[x:y], x, y) for x, y in full]
+    return out + [(seq, "name", text[x:y], x, y) for x, y in _lone(words, [*blocked, *full], given, family)] if generalise else out
 
 
-def _persons_by_join(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _persons_by_join(texts: DataFrame, lexicon: DataFrame, generalise: bool) -> DataFrame:
     """The same persons where the list is too long to broadcast: each text with the listed ones of its own words."""
 
     def words(batches: Iterator) -> Iterator:
@@ -229,16 +303,16 @@ def _persons_by_join(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for seq, text, given, family in zip(b["seq"], b["content"], b["given"], b["family"]):
-                spans = persons(text, list(WORD.finditer(text)), fixed_details(text), set(given), set(family))
-                out += [(seq, "person", text[x:y], x, y) for x, y in spans]
+                out += _named(seq, text, set(given), set(family), generalise)
             yield pd.DataFrame(out, columns=["seq", "kind", "value", "begin", "end"])
 
     return texts.join(own, "seq").mapInPandas(run, _DETAIL)
 
 
-def redact(messages: DataFrame, names: DataFrame) -> DataFrame:
-    """(seq, content) with details replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [PERSON]; other texts stay as they are."""
-    found = find_details(messages, names).groupBy("seq").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "kind"))).alias("d"))  # as many as one text holds
+def redact(messages: DataFrame, names: DataFrame, generalise: bool = False) -> DataFrame:
+    """(seq, content) with details replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] and [PERSON], with generalise lone names by [NAME]; other texts stay as
+    they are."""
+    found = find_details(messages, names, generalise=generalise).groupBy("seq").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "kind"))).alias("d"))  # as many as one text holds
     rows = messages.select("seq", "content").join(found, "seq", "left")
     piece = F.aggregate("d", F.struct(F.lit("").alias("t"), F.lit(0).alias("p")), lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("content"), acc["p"] + 1, x["begin"] - acc["p"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("t"), x["end"].alias("p")))
     rows = rows.withColumn("r", piece)

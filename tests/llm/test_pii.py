@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from skald.llm import pii_rules as rules
@@ -68,7 +70,7 @@ def persons(rows):
 
 def test_persons_learn_from_the_corpus(spark):
     df, names = frame(spark, TEXTS), spark.createDataFrame(NAMES, "name string, name_part string")
-    learned = {(r.term, r.part) for r in learn_names(df, names).filter("disclosure < 1 or term in ('sundhuist', 'ruvim')").collect()}
+    learned = {(r.term, r.part) for r in learn_names(df, names).filter("bits is not null").collect()}
     assert {("sundhuist", "family"), ("ruvim", "given")} <= learned and not {t for t, _ in learned} & {"bitte", "the", "restarted", "node"}
     assert persons(find_details(df, names).collect()) == EXPECTED
     # the way beyond the broadcast limit
@@ -94,3 +96,20 @@ def test_redaction_and_empty_tables(spark):
     assert out == {0: "😀 [PERSON], call [PHONE]; [EMAIL]!", 1: "nothing here", 2: None}
     assert find_details(df.limit(0), names).count() == 0
     assert persons(find_details(df, names.limit(0)).collect()) == {}
+
+
+def test_information_of_a_term(spark):
+    texts = ["Orrin Velkomir left"] * 8 + ["Orrin Sundhuist left"] * 2 + ["Orrin Report is late"] * 2 + ["The report, a report, or Report came"] * 40
+    df, names = frame(spark, texts), spark.createDataFrame(NAMES, "name string, name_part string")
+    known = {(r.term, r.part): r for r in learn_names(df, names).collect()}
+    assert ("report", "family") not in known and ("sundhuist", "family") in known
+    total = 8 * 3 + 2 * 3 + 2 * 4 + 40 * 7
+    assert abs(known["sundhuist", "family"].bits - math.log2(total / 16)) < 1e-9 and known["sundhuist", "family"].left == 0
+
+
+def test_generalised_names(spark):
+    df = frame(spark, ["Orrin Velkomir met Tamsel at orrin@example.org", "ask Velkomir, orrin", "ORRIN"])
+    names = spark.createDataFrame(NAMES, "name string, name_part string")
+    out = {r.seq: r.content for r in redact(df, names, generalise=True).collect()}
+    assert out == {0: "[PERSON] met [NAME] at [EMAIL]", 1: "ask [PERSON]", 2: "[NAME]"}
+    assert redact(df, names).filter("content = 'ORRIN'").count() == 1
