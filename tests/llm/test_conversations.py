@@ -134,3 +134,18 @@ def test_long_chain(spark):
     found = {x.frag: x["at"] for x in assemble(frags(spark, rows)).collect()}
     assert found == {i: 3 * i for i in range(130)}
     assert assemble(frags(spark, rows).limit(0)).count() == 0
+
+
+def test_repeats_without_id_across_fragments(spark):
+    roles = ["user", "assistant"] * 6
+    rows = [(i, None, "s", r, "same", "1700000000", "f", "h") for i, r in enumerate(roles)]
+    rows += [(20 + i, "", "s", r, "same", "1700000001", "f", "h") for i, r in enumerate(["user", "assistant", "assistant", "assistant"])]
+    for most in (1, 2, 5, 100):
+        found = conversations(spark.createDataFrame(rows, SCHEMA), None, most).collect()
+        assert sorted((r.turn_no, r.seq) for r in found) == [(i + 1, r[0]) for i, r in enumerate(rows)]
+
+
+def test_ambiguous_repeats_are_dropped(spark):
+    rows = [("x", 1, [1, 2, 3]), ("x", 2, [3, 2, 3, 4]), ("x", 3, [3, 5]), ("y", 4, [7, 8, 7]), ("y", 5, [7, 9])]
+    found = {r.session_id for r in assemble(frags(spark, rows)).collect()}
+    assert found == {"y"}
