@@ -446,7 +446,7 @@ def compare(index, index_n, q, q_n, k: int, floor: float | None, leaf_rows: int
     import numpy as np
 
     leaves = len(index) // leaf_rows
-    if leaves < 4 or len(q) < 8:
+    if leaves < 8 or len(q) < 8:
         pieces = [(np.arange(len(q)), np.arange(len(index)))]
     else:
         rng = np.random.default_rng(5)

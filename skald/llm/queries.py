@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import read_table
+from ..plans.registry import instants_sql
 from . import conversations, leakage, neighbours, packing, pii, spans
 
 
@@ -28,7 +29,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose seq is divisible by 100, asked against all rows."""
     found = neighbours.top_neighbours(neighbours.message_vectors(read_table(spark, d, "messages")), queries=lambda n: n % 100 == 0)
-    return found.select(F.col("q").alias("seq"), F.col("rank").cast("long").alias("rank"), F.col("s").alias("neighbour"), F.col("similarity").cast("double").alias("similarity"))
+    return found.select(F.col("q").alias("seq"), F.col("rank").cast("long").alias("rank"), F.col("s").alias("neighbour"), F.round(F.col("similarity").cast("double"), 3).alias("similarity"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +56,21 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_turns, p4_found, p4_neighbours,
 
 FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM messages) x WHERE id IS NULL OR id = '' OR k = 1)"
 
+_KEPT = f"""WITH r AS (SELECT session_id, seq, utc_us, role, content, role IN ('system', 'user', 'assistant', 'tool') AND utc_us IS NOT NULL AS good,
+        coalesce(regexp_replace(content, '[\\s\\x{{85}}\\p{{Z}}\\x{{1c}}-\\x{{1f}}]+', '', 'g') <> '', FALSE) AS said
+      FROM ({instants_sql(f"(SELECT * FROM {FIRST} f WHERE session_id <> '')")}) z),
+      a AS (SELECT session_id FROM (SELECT session_id, seq, role, lead(role) OVER (PARTITION BY session_id ORDER BY utc_us, seq) AS nxt FROM r WHERE role = 'user' OR (role = 'assistant' AND said)) x
+        WHERE role = 'user' AND coalesce(nxt, 'user') = 'user'),
+      k AS (SELECT session_id FROM r GROUP BY 1 HAVING bool_and(coalesce(good, FALSE)) AND arg_min(role, (utc_us, seq)) FILTER (WHERE role <> 'system') = 'user' AND bool_or(role = 'user' AND said))
+      SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY utc_us, seq) AS turn_no, seq, role, content FROM r
+      WHERE session_id IN (SELECT session_id FROM k) AND session_id NOT IN (SELECT session_id FROM a)"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"SELECT session_id, turn_no, seq FROM ({_KEPT}) w",
+    "p2_turns": _KEPT,
+    "p4_neighbours": f"""WITH v AS (SELECT seq, embedding::DOUBLE[] AS e FROM {FIRST} m WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+      s AS (SELECT a.seq AS a, b.seq AS b, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM v a JOIN v b ON a.seq % 100 = 0 AND a.seq <> b.seq)
+      SELECT a AS seq, k AS rank, b AS neighbour, round(c, 3) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s) t WHERE k <= 10""",
     "p4_found": f"""WITH v AS (SELECT seq, embedding::DOUBLE[] AS e FROM {FIRST} m WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
       s AS (SELECT a.seq AS a, b.seq AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.seq <> b.seq WHERE list_cosine_similarity(a.e, b.e) >= 0.87),
       t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
