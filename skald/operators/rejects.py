@@ -1,12 +1,13 @@
 r"""Problem 3: rows that fail to parse, with the first reason.
 
-A schema gives one anchored regular expression for a whole row. Rows that match it are loadable as they stand. The others
-go through field-prefix patterns, one more field at a time, which find the first field that breaks the row; what remains in doubt
-(escaped keys, repeated keys, nested values) is settled by the same patterns applied along the row, with an explicit stack instead of recursion.
+A schema gives one anchored regular expression for a whole row. Rows that match it are loaded in the JVM as they stand. The others
+go through field-prefix patterns, generated from the same schema, one more field at a time, which find the first field that breaks the row; what no
+pattern can decide (escaped and repeated keys, values nested deeper than DEPTH) is settled along the row with an explicit stack instead of recursion.
 
 Reasons, in order: broken_text, column_count, bad_value. Defined results: null rows and rows of white space only are
 skipped; of repeated JSON keys the last counts; an unknown or null format is taken as JSON where the first character is {, else
-as CSV; repeated rows each get their own result. One line end may close a CSV record. Works row by row, without any shuffle.
+as CSV; repeated rows each get their own result; extra columns are ignored. One line end may close a CSV record. Works row by row, without any shuffle; only rows
+that don't match as a whole reach Python.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 ROLES = ("system", "user", "assistant", "tool")
 CSV_FIELDS = ("id", "role", "content", "timestamp", "model", "session_id")
@@ -29,23 +31,54 @@ _NUM = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?"
 _PLAIN = rf"(?:{_STR}|{_NUM}|true|false|null)"
 
 
-def json_row_pattern() -> re.Pattern:
-    """A whole loadable record: known keys with values of their types, any other key with a plain value."""
+DEPTH = 3
+
+
+def json_row_pattern(required: dict[str, str] = JSON_REQUIRED, optional: dict[str, str] = JSON_OPTIONAL) -> str:
+    """A whole loadable record: known keys with values of their types, any other key with a plain value. Keys of nested kinds match in no such row."""
     role = "|".join(ROLES)
-    known = {**JSON_REQUIRED, **JSON_OPTIONAL}
+    known = {**required, **optional}
     members = [rf'"{k}"{_WS}:{_WS}(?P<{k}>{f'"(?:{role})"' if kind == "role" else _STR})' for k, kind in known.items() if kind in ("string", "role")]
     other = rf'"(?!(?:{"|".join(known)})")(?:[^"\\\x00-\x1f]++)*+"{_WS}:{_WS}{_PLAIN}'
     member = f"(?:{'|'.join([*members, other])})"
     # the list is one repetition, so that each named group stands once: a comma must be followed by a key, no comma by the end
-    return re.compile(rf"{_WS}\{{{_WS}(?:{member}{_WS}(?:,{_WS}(?=\")|(?=\}})))++\}}{_WS}\Z")
+    return rf"{_WS}\{{{_WS}(?:{member}{_WS}(?:,{_WS}(?=\")|(?=\}})))++\}}{_WS}\Z"
+
+
+def json_field_pattern(depth: int = DEPTH) -> str:
+    """One more field of a record, with what may follow it: the step by which a prefix of n fields becomes one of n + 1. Values are nested up to `depth`."""
+    value = _PLAIN
+    for _ in range(depth):
+        pair = rf"{_STR}{_WS}:{_WS}{value}{_WS}(?:,{_WS}(?=\")|(?=\}}))"
+        element = rf"{value}{_WS}(?:,{_WS}(?!\])|(?=\]))"
+        value = rf"(?:{_PLAIN}|\{{{_WS}(?:{pair})*+\}}|\[{_WS}(?:{element})*+\])"
+    return rf"({_STR}){_WS}:{_WS}({value}){_WS}(?=[,}}])"
 
 
 _CSV_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)'
-_CSV_ROW = re.compile(rf"{_CSV_FIELD}(?:,{_CSV_FIELD})*+(?:\r\n|\r|\n)?\Z")
-_CSV_ONE = re.compile(rf"({_CSV_FIELD})(,|(?:\r\n|\r|\n)?\Z)")
-CSV_PREFIXES = [re.compile(_CSV_FIELD + rf"(?:,{_CSV_FIELD}){{{n}}}(?=,|(?:\r\n|\r|\n)?\Z)") for n in range(len(CSV_FIELDS))]
-CSV_LOADABLE = re.compile(_CSV_FIELD + rf',(?:"(?:{"|".join(ROLES)})"|(?:{"|".join(ROLES)}))' + rf"(?:,{_CSV_FIELD}){{4}}(?:\r\n|\r|\n)?\Z")
-_JSON_ROW = json_row_pattern()
+_CSV_END = r"(?:\r\n|\r|\n)?"
+
+
+def csv_row_pattern(fields: tuple = CSV_FIELDS, allowed: dict[str, tuple] = {"role": ROLES}) -> str:  # noqa: B006
+    """A whole loadable record, one group a field."""
+    kinds = [f'(?:"(?:{"|".join(allowed[f])})"|(?:{"|".join(allowed[f])}))' if f in allowed else _CSV_FIELD for f in fields]
+    return ",".join(f"({k})" for k in kinds) + _CSV_END + r"\Z"
+
+
+def csv_prefix_patterns(fields: tuple = CSV_FIELDS) -> list[re.Pattern]:
+    return [re.compile(_CSV_FIELD + rf"(?:,{_CSV_FIELD}){{{n}}}(?=,|{_CSV_END}\Z)") for n in range(len(fields))]
+
+
+def _java(pattern: str) -> str:
+    return r"\A" + pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
+
+
+_CSV_ROW = re.compile(rf"{_CSV_FIELD}(?:,{_CSV_FIELD})*+{_CSV_END}\Z")
+_CSV_ONE = re.compile(rf"({_CSV_FIELD})(,|{_CSV_END}\Z)")
+CSV_PREFIXES = csv_prefix_patterns()
+CSV_LOADABLE = re.compile(csv_row_pattern())
+_JSON_ROW = re.compile(json_row_pattern())
+_JSON_FIELD = re.compile(json_field_pattern())
 _KEY = re.compile(rf"({_STR}){_WS}:{_WS}")
 _TOKEN = re.compile(rf"{_WS}({_STR}|{_NUM}|true|false|null|[\[\]{{}},:])")
 _SPACE = re.compile(_WS)
@@ -110,15 +143,21 @@ def scan_object(s: str, pos: int, end_needed: bool) -> tuple[dict[str, str] | No
         pos += 1
     else:
         while True:
-            key = _KEY.match(s, pos)
-            if not key:
-                return None, "(key)", pos
-            name = json.loads(key[1])
-            end = scan_value(s, key.end())
-            if end < 0:
-                return None, name, key.end()
-            fields[name] = s[key.end() : end].strip(" \t\n\r")
-            pos = _SPACE.match(s, end).end()
+            step = _JSON_FIELD.match(s, pos)
+            if step:
+                name = json.loads(step[1])
+                fields[name] = step[2]
+                pos = step.end()
+            else:
+                key = _KEY.match(s, pos)
+                if not key:
+                    return None, "(key)", pos
+                name = json.loads(key[1])
+                end = scan_value(s, key.end())
+                if end < 0:
+                    return None, name, key.end()
+                fields[name] = s[key.end() : end].strip(" \t\n\r")
+                pos = _SPACE.match(s, end).end()
             mark = s[pos : pos + 1]
             pos = _SPACE.match(s, pos + 1).end() if mark == "," else pos + 1
             if mark == "}":
@@ -219,9 +258,37 @@ def _clean(v: str | None) -> str | None:
     return v if v is None or v.isascii() else v.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
-def split_lines(lines: DataFrame) -> DataFrame:
-    """One row per line that isn't blank: either loaded with its fields, or with reason, first broken field and position."""
+def _whole(lines: DataFrame) -> DataFrame:
+    """line_id, raw, fmt and whether the row matches its format's pattern as a whole (`_csv`, `_json` with its fields in `_j`)."""
+    raw = F.col("raw")
+    known = {**JSON_REQUIRED, **JSON_OPTIONAL}
+    once = lambda k: F.length(raw) - F.length(F.replace(raw, F.lit(f'"{k}"'), F.lit(""))) <= len(k) + 2
+    plain = (F.col("fmt") == "jsonl") & raw.rlike(_java(json_row_pattern())) & ~F.contains(raw, F.lit("\\u"))
+    for k in known:
+        plain = plain & once(k)
+    names = [k for k, kind in known.items() if kind in ("string", "role")]
+    # a key may be missing and stand as a value, so the fields are looked at
+    rows = lines.select("line_id", "fmt", "raw").withColumn("_j", F.when(plain, F.from_json(raw, ", ".join(f"{k} string" for k in names))))
+    there = F.col("_j").isNotNull()
+    for k in JSON_REQUIRED:
+        there = there & F.col(f"_j.{k}").isNotNull()
+    csv = (F.col("fmt") == "csv") & raw.rlike(_java(csv_row_pattern()))
+    return rows.withColumns({"_json": F.coalesce(there, F.lit(False)), "_csv": F.coalesce(csv, F.lit(False))})
+
+
+def _loaded(rows: DataFrame) -> DataFrame:
+    def cell(i: int) -> Column:
+        f = F.regexp_extract("raw", _java(csv_row_pattern()), i + 1)
+        return F.when(F.startswith(f, F.lit('"')), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
 
+    cells = [cell(i) for i in range(len(CSV_FIELDS))]
+    own = {"model": "model", "session_id": "sessionId"}
+    fields = [F.when(F.col("_json"), F.col(f"_j.{own.get(name, name)}")).otherwise(c).alias(name) for name, c in zip(CSV_FIELDS, cells)]
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("reason", "string"), ("field", "string"), ("position", "int"))]
+    return rows.select("line_id", F.lit(True).alias("loaded"), *nothing, *fields)
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
@@ -238,8 +305,14 @@ def split_lines(lines: DataFrame) -> DataFrame:
             frame["position"] = frame["position"].astype("Int32")
             yield frame
 
-    return lines.select("line_id", "fmt", "raw").mapInPandas(run, OUTPUT)
+    return rows.select("line_id", "fmt", "raw").mapInPandas(run, OUTPUT)
+
+
+def split_lines(lines: DataFrame) -> DataFrame:
+    """One row per line that isn't blank: either loaded with its fields, or with reason, first broken field and position."""
+    rows = _whole(lines)
+    return _loaded(rows.filter("_json or _csv")).unionByName(_judged(rows.filter("not (_json or _csv)")))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
-    return split_lines(lines).filter("not loaded")
+    return _judged(_whole(lines).filter("not (_json or _csv)")).filter("not loaded")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from skald.operators.rejects import ROLES, judge, judge_json, rejected_lines, split_lines
+from skald.operators.rejects import ROLES, _clean, judge, judge_json, rejected_lines, split_lines
 from skald.sources.jsonl import validate
 
 GOOD = '{"id":"m1","role":"user","content":"c","timestamp":"t"}'
@@ -121,3 +121,29 @@ def F_raw():
     from pyspark.sql import functions as F
 
     return F.col("raw").alias("value")
+
+
+def test_rows_loaded_in_the_jvm_are_those_that_judging_loads(spark):
+    r = random.Random(8)
+    long = "\\\\n\\\"" * 60_000
+    texts = [json.dumps({"id": "m", "role": "user", "content": c, "timestamp": "t"}) for c in ("id", "role", "x\\ny", 'say "id"', "\u00e9", "😀", "")]
+    texts += ['{"id":"a","role":"user","content":"' + long + '","timestamp":"t"}', '{"content":"id","role":"user","timestamp":"role","model":"id"}', '{"id":"a","id":"b","role":"user","content":"c","timestamp":"t"}']
+    texts += ['{"id":"a","role":"user","content":"c","timestamp":"t","toolCall":{"name":"n","input":{"a":[1,{"b":[]}]}}}', '{"id":"a","role":"user","content":"c","timestamp":"t","x":[[[[[[1]]]]]]}', '{"id":"a","role":"user","content":"c","timestamp":"t","x":[[[[[[1]]]],]]}']
+    base = list(texts)
+    for _ in range(400):
+        t = list(r.choice(base[:7] + base[8:]))
+        for _ in range(r.randrange(1, 3)):
+            t[r.randrange(len(t))] = r.choice(['"', ",", "}", "\\\\", "x", "", " ", "null"])
+        texts.append("".join(t))
+    cells = ['user', '"user"', "a,b", '"a,b"', '"a""b"', "", '"' + "x,\n" * 50_000 + '"', 'a"b', "é"]
+    csv_texts = [",".join(r.choice(cells) for _ in range(r.choice([5, 6, 6, 6, 7]))) + r.choice(["", "\n", "\r\n"]) for _ in range(200)]
+    rows = [(i, "jsonl", t, "x") for i, t in enumerate(texts)] + [(10_000 + i, "csv", t, "x") for i, t in enumerate(csv_texts)] + [(20_000, None, texts[0], "x"), (20_001, "csv", None, "x")]
+    found = {x.line_id: x for x in split_lines(spark.createDataFrame(rows, "line_id bigint, fmt string, raw string, reason string")).collect()}
+    for i, fmt, t, _ in rows:
+        expected = judge(fmt, t)
+        assert (expected is None) == (i not in found), t
+        if expected:
+            assert found[i].reason == expected[0], t[:200]
+            if expected[3]:
+                values = {k: _clean(expected[3].get("sessionId", expected[3].get(k)) if k == "session_id" else expected[3].get(k)) for k in ("id", "role", "content", "timestamp", "model", "session_id")}
+                assert {k: found[i][k] for k in values} == values
