@@ -1,6 +1,6 @@
 """Problem 7: filling frames of fixed capacity with texts.
 
-Texts are sized in tokens of a public tokenizer. Only the number of texts of each size goes to the driver: at most `capacity` counts. There, minimum bin
+Texts are sized in tokens of a public tokenizer. Only the number of texts of each size goes to the driver, at most `capacity` counts whatever the number of texts. There, minimum bin
 slack fills one frame after the other: a subset-sum dynamic program over bitsets finds which multiset of the remaining sizes,
 with the largest size always in, comes closest to the capacity, backtracking gives how many of each size it takes, and the frame is repeated as often as the
 remaining counts allow. Texts are then numbered within their size, and the numbers say which frame they go to.
@@ -109,13 +109,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER)
     pieces = F.coalesce(pieces, F.array(F.struct(F.lit(0).cast("long").alias("part"), F.col("tokens").alias("size"))))
     rows = sized.select("doc_id", "tokens", F.inline(pieces))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), F.lit(BUCKETS)))
-    table = rows.filter("size > 0").groupBy("size", "bucket").agg(F.count("*").alias("n")).collect()  # at most capacity * BUCKETS rows
-    counts = np.zeros((capacity + 1, BUCKETS), np.int64)
-    for r in table:
-        counts[r["size"], r["bucket"]] = r["n"]
-    plan = fill({s: int(n) for s, n in enumerate(counts.sum(1)) if n}, capacity)
+    cells = cut(rows.filter("size > 0").groupBy("size", "bucket").agg(F.count("*").alias("n")))  # at most capacity * BUCKETS rows
+    table = cells.groupBy("size").agg(F.sum("n").alias("n")).collect()  # at most capacity rows
+    plan = fill({r["size"]: r["n"] for r in table}, capacity)
     # slots of each size, in order: from which number on they belong to which run of frames
-    first = np.cumsum(counts, axis=1) - counts
     slots: dict[int, list] = {}
     frame, used = 0, {}
     for times, taken in plan:
@@ -140,7 +137,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER)
             yield pd.DataFrame({"doc_id": b["doc_id"], "part": b["part"], "tokens": size, "frame": out})
 
     place = F.row_number().over(W.partitionBy("size", "bucket").orderBy("doc_id", "part")) - 1
-    offsets = documents.sparkSession.createDataFrame([(int(s), int(b), int(first[s, b])) for s, b in zip(*np.nonzero(counts))], "size bigint, bucket bigint, first bigint")
+    earlier = F.sum("n").over(W.partitionBy("size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    offsets = cells.select("size", "bucket", F.coalesce(earlier, F.lit(0)).alias("first"))
     # at most capacity * BUCKETS rows
     numbered = rows.filter("size > 0").join(F.broadcast(offsets), ["size", "bucket"]).select("doc_id", "part", F.col("size").alias("tokens"), (place + F.col("first")).alias("number"))
     packed = numbered.mapInPandas(frames, "doc_id bigint, part bigint, tokens bigint, frame bigint")
