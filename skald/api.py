@@ -44,6 +44,17 @@ class Conversation:
     def get_relations(self, entity_id: str) -> DataFrame:
         return self.store.relations(entity_id)
 
+    def index_relation(self, entity_from: str, entity_to: str, relation: str) -> None:
+        """Adds an edge to the graph; a known one stays as it is."""
+        now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        row = self.spark.createDataFrame([(entity_from, entity_to, relation)], "entity_from string, entity_to string, relation string")
+        number = self.store.read("entity_relations").agg(F.coalesce(F.max("id") + 1, F.lit(1).cast("bigint"))).first()[0]
+        self.store.add_relations(row.select(F.lit(number).alias("id"), "*", now.alias("first_seen"), now.alias("last_seen")))
+
+    def get_session(self) -> dict | None:
+        row = self.store.read("sessions").filter(F.col("id") == self.session_id).first()
+        return row.asDict() if row else None
+
     def get_decisions(self) -> DataFrame:
         return self._own("decisions").filter(~F.col("superseded")).orderBy("timestamp", "seq", "pos")
 
@@ -107,5 +118,3 @@ class Conversation:
             return {"content": json.dumps(tools[tool](), indent=2, default=str)}
         except Exception as e:
             return {"content": f"Error: {e}", "isError": True}
-
-

@@ -1,15 +1,15 @@
 """From a log to the state tables, in batch or as a stream; both run the same transformation.
 
-A micro-batch keeps new ids only, takes each session's last rows from the state as history, scores, extracts and appends. Rows that arrive late are scored
-against what came before them by arrival; earlier rows are not scored again. The engine's own number of a batch names what it
-writes, so a batch that runs twice writes the same files twice."""
+A micro-batch keeps new ids only, takes each session's last rows from the state as history, scores, extracts and appends. It reads the buckets of ids and of sessions
+that it touches, not the whole state. Rows are in order of arrival, in batch and stream alike; rows that arrive late are scored
+against what came before them, and earlier rows are not scored again. The engine's own number of a batch names what it
+writes, and it reads what earlier batches wrote, so a batch that runs twice writes the same files twice."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import cut
@@ -17,7 +17,7 @@ from ..functions.embedding import hashed
 from ..functions import text as T
 from ..operators import extraction, importance
 from ..sources.jsonl import ADAPTERS
-from ..sources.store import StateStore
+from ..sources.store import StateStore, bucket
 from ..sources.tail import register
 
 HISTORY = importance.LOOK_BACK
@@ -25,17 +25,16 @@ HISTORY = importance.LOOK_BACK
 
 def index_batch(rows: DataFrame, store: StateStore, batch: int, embedder: Callable[[Column], Column] = hashed) -> None:
     """rows (id, session_id, seq, role, content, timestamp, has_tool)"""
-    known = store.read("messages")
-    if batch > 0:
-        known = known.filter("seq is not null")
     first = rows.groupBy("id").agg(F.min("seq").alias("seq"))
-    new = cut(rows.join(first, ["id", "seq"], "left_semi").join(known.select("id"), "id", "left_anti"))
+    came = cut(rows.join(first, ["id", "seq"], "left_semi"))
+    touched = came.agg(F.collect_set(bucket("id")), F.collect_set(bucket("session_id"))).first()  # at most BUCKETS each
+    new = cut(came.join(store.known_ids(touched[0], batch), "id", "left_anti"))
     if new.isEmpty():
         return
-    touched = known.join(new.select("session_id").distinct(), "session_id", "left_semi")
-    w = W.partitionBy("session_id").orderBy(F.desc("seq"))
-    past = touched.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= HISTORY).select("id", "session_id", "seq", "role", "content", "timestamp", F.lit(False).alias("has_tool"), F.lit(True).alias("old"))
-    both = new.select("id", "session_id", "seq", "role", "content", "timestamp", "has_tool", F.lit(False).alias("old")).unionByName(past)
+    columns = ["id", "session_id", "seq", "role", "content", "timestamp"]
+    past = cut(store.recent(touched[1], batch))
+    own = past.join(new.select("session_id").distinct(), "session_id", "left_semi")
+    both = new.select(*columns, "has_tool", F.lit(False).alias("old")).unionByName(own.select(*columns, F.lit(False).alias("has_tool"), F.lit(True).alias("old")))
     scored = cut(importance.score(both).filter("not old"))
     entities = extraction.entities(scored)
     ids = T.captures(F.col("content"), T.ENTITIES)
@@ -44,8 +43,11 @@ def index_batch(rows: DataFrame, store: StateStore, batch: int, embedder: Callab
     stones = extraction.corrections(scored).withColumn("id", F.col("tombstone_id"))
     store.append("decisions", decisions, batch)
     store.append("tombstones", stones, batch)
-    store.replace_entities(extraction.upsert(entities.withColumn("ts", F.col("timestamp")), store.entities_before(batch)), batch)
-    store.append("messages", messages, batch)  # last: until here a repeated batch finds its ids new
+    store.append("entities", extraction.upsert(entities.withColumn("ts", F.col("timestamp"))), batch)
+    store.append("sessions", new.groupBy(F.col("session_id").alias("id")).agg(F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"), F.count("*").alias("message_count")), batch)
+    store.append("messages", messages, batch)
+    store.replace_recent(past.unionByName(new.select(*columns)), HISTORY, batch)
+    store.append_ids(new, batch)
 
 
 MODES = ("live", "catchup", "watch")

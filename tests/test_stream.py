@@ -10,7 +10,7 @@ from skald.operators import importance
 from skald.sources.jsonl import detect, detect_adapter, read_log
 from skald.sources.store import StateStore
 from skald.sources.tail import ByteRange, last_line_end, read_lines
-from skald.streaming.pipeline import follow
+from skald.streaming.pipeline import follow, index_batch
 
 TEXTS = ["We decided on redis", "the redis is slow", "Actually, use kafka", "moving on", "ok", "we're using kafka for queues", "not a, but b", "the plan is kafka"]
 
@@ -70,6 +70,8 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert [x["id"] for x in recent] == [f"m{i}" for i in range(89, 79, -1)]
     assert "## Entities" in chat.get_context_frame() and "## Recent Messages" in chat.get_context_frame()
     store.add_relations(spark.createDataFrame([(1, "redis", "kafka", "feeds", "t", "t")] * 2, store.read("entity_relations").schema), 0)
+    chat.index_relation("redis", "kafka", "feeds")
+    assert chat.get_session() == {"id": "s1", "started_at": min(x.timestamp for x in rows), "ended_at": max(x.timestamp for x in rows), "message_count": 90}
     answer = json.loads(chat.call("search_conversation", {"query": "is redis slow", "k": 8})["content"])
     assert len(answer["results"]) == 8 and answer["stats"]["relations"] == 1
     assert {x["type"] for x in answer["results"]} >= {"message"} and any("Context: " in x["content"] for x in answer["results"])
@@ -78,6 +80,33 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert chat.get_important_messages(3).count() == 3 and chat.get_relations("redis").count() == 1 and chat.search_similar("kafka", 2).count() == 2
 
 
+def test_late_rows_score_alike_in_batch_and_stream(spark, tmp_path):
+    rows = [json.loads(x) for x in lines(60, 5) if x.startswith('{"id": "')]
+    r = random.Random(2)
+    for x in r.sample(rows, 15):
+        x["timestamp"] = f"2025-12-31T{r.randrange(24):02}:00:00.000Z"
+    log, state = tmp_path / "log.jsonl", tmp_path / "state"
+    for a, b in ((0, 20), (20, 21), (21, len(rows))):
+        with log.open("a") as f:
+            f.write("".join(json.dumps(x) + "\n" for x in rows[a:b]))
+        run(spark, log, state)
+    found = {x.id: x.importance_total for x in StateStore(spark, str(state)).read("messages").collect()}
+    assert found == {x.id: x.total for x in importance.score(read_log(spark, str(log), "s1")).collect()} and len(found) == len({x["id"] for x in rows})
+
+
+def test_repeated_micro_batches_write_the_same(spark, tmp_path):
+    rows = spark.createDataFrame([(f"m{i}", f"s{i % 3}", i, "user", TEXTS[i % 8], f"t{i}", False) for i in range(24)], "id string, session_id string, seq bigint, role string, content string, timestamp string, has_tool boolean")
+    store = StateStore(spark, str(tmp_path / "state"))
+    for batch, some in ((0, rows.filter("seq < 10")), (1, rows.filter("seq >= 8")), (1, rows.filter("seq >= 8")), (2, rows)):
+        index_batch(some, store, batch)
+    assert sorted(x.id for x in store.read("messages").collect()) == sorted(f"m{i}" for i in range(24))
+    assert {x.id: x.message_count for x in store.read("sessions").collect()} == {"s0": 8, "s1": 8, "s2": 8}
+    once = StateStore(spark, str(tmp_path / "once"))
+    index_batch(rows, once, 0)
+    for table in ("messages", "entities", "decisions"):
+        assert sorted(map(str, store.read(table).collect())) == sorted(map(str, once.read(table).collect()))
+
+
 def test_shorter_file_is_read_anew(spark, tmp_path):
     log, state = tmp_path / "log.jsonl", tmp_path / "state"
     log.write_text("\n".join(lines(30)) + "\n")
