@@ -95,7 +95,7 @@ def test_late_rows_score_alike_in_batch_and_stream(spark, tmp_path):
 
 
 def test_repeated_micro_batches_write_the_same(spark, tmp_path):
-    rows = spark.createDataFrame([(f"m{i}", f"s{i % 3}", i, "user", TEXTS[i % 8], f"t{i}", False) for i in range(24)], "id string, session_id string, seq bigint, role string, content string, timestamp string, has_tool boolean")
+    rows = spark.createDataFrame([(f"m{i}", f"s{i % 3}", i, "user", TEXTS[i % 8], f"t{i:02}", False) for i in range(24)], "id string, session_id string, seq bigint, role string, content string, timestamp string, has_tool boolean")
     store = StateStore(spark, str(tmp_path / "state"))
     for batch, some in ((0, rows.filter("seq < 10")), (1, rows.filter("seq >= 8")), (1, rows.filter("seq >= 8")), (2, rows)):
         index_batch(some, store, batch)
