@@ -52,10 +52,6 @@ def captures(text: Column, patterns: list[str]) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def contains_folded(text: Column, part: Column) -> Column:
-    return F.contains(F.lower(text), F.lower(part))
-
-
 def prefix(text: Column, n: int) -> Column:
     """The first n UTF-16 units; a character that would be split is left out."""
     wide = F.encode(text, "UTF-16BE")

@@ -50,8 +50,8 @@ def session_entities(messages: DataFrame, entities: DataFrame, exact: bool = Fal
     """(session_id, id): entities whose id stands in the entity_ids text of a message of the session.
 
     As written, ids are patterns with % and _ over the JSON text, without regard to ASCII case. Ids without wildcards are searched with an
-    automaton that finds all of them in one pass over each text, others one by one; ids are sent to the tasks in blocks of at most
-    `block`. exact compares array elements instead, as a hash join."""
+    automaton that finds all of them in one pass over each text; of an id with wildcards the automaton finds the longest plain part, and only where that
+    stands is the whole pattern tried. Ids are sent to the tasks in blocks of at most `block`. exact compares array elements instead, as a hash join."""
     rows = messages.select("session_id", "entity_ids").filter("session_id is not null and entity_ids is not null")
     if exact:
         own = rows.select("session_id", F.explode(F.from_json("entity_ids", "array<string>")).alias("id")).distinct()
@@ -78,26 +78,32 @@ def _find_ids(batches, ids: list[str]):
     import ahocorasick
     import pandas as pd
 
-    automaton, plain, loose = ahocorasick.Automaton(), {}, []
+    automaton, words = ahocorasick.Automaton(), {}
     always = [i for i in ids if not i.strip("%")]
+    loose = []  # nothing but wildcards
     for i in ids:
         if i in always:
             continue
+        folded = _fold(i)
+        pattern = None
         if "%" in i or "_" in i:
-            loose.append((i, re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in _fold(i)), re.S)))
+            pattern = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in folded), re.S)
+            folded = max(re.split("[%_]", folded), key=len)
+        if folded:
+            words.setdefault(folded, []).append((i, pattern))
         else:
-            plain.setdefault(_fold(i), []).append(i)
-    for k, v in plain.items():
+            loose.append((i, pattern))
+    for k, v in words.items():
         automaton.add_word(k, v)
-    if plain:
+    if words:
         automaton.make_automaton()
     for b in batches:
         seen = set()
         for session, text in zip(b["session_id"], b["entity_ids"]):
             t = _fold(text)
             seen.update((session, i) for i in always)
-            if plain:
-                for _, v in automaton.iter(t):
-                    seen.update((session, i) for i in v)
+            if words:
+                met = {x for _, v in automaton.iter(t) for x in v}
+                seen.update((session, i) for i, p in met if p is None or p.search(t))
             seen.update((session, i) for i, p in loose if p.search(t))
         yield pd.DataFrame(sorted(seen), columns=["session_id", "id"])

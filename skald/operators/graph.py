@@ -44,8 +44,11 @@ def bfs(entities: DataFrame, relations: DataFrame, starts: DataFrame, depth: int
 
 
 def chunks(entities: DataFrame, relations: DataFrame, reached: DataFrame) -> DataFrame:
-    """(id, content, score, type, ord): one chunk per reached entity and one per relation that leaves it."""
-    nodes = reached.join(entities.dropDuplicates(["id"]).select("id", F.col("type").alias("t"), F.col("value").alias("v")), "id")
+    """(id, content, score, type, ord): one chunk per reached entity and one per relation that leaves it. Of a repeated entity the row seen last counts, of those
+    the one with the largest type and value."""
+    seen = [c for c in ("last_seen", "first_seen") if c in entities.columns]
+    last = entities.groupBy("id").agg(F.max_by(F.struct("type", "value"), F.struct(*seen, "type", "value")).alias("e"))
+    nodes = reached.join(last.select("id", F.col("e.type").alias("t"), F.col("e.value").alias("v")), "id")
     own = nodes.select("id", F.concat("t", F.lit(": "), "v").alias("content"), (F.lit(1.0) - F.lit(0.3) * F.col("d")).alias("score"), F.lit("entity").alias("type"), F.struct(F.lit(1).alias("source"), "d", "rk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("edge")).alias("ord"))
     out = nodes.join(relations.select(F.col("entity_from").alias("id"), "entity_to", "relation", F.col("id").cast("long").alias("edge")), "id")
     paths = out.select(F.concat("id", F.lit("->"), "entity_to").alias("id"), F.concat("v", F.lit(" --["), "relation", F.lit("]--> "), "entity_to").alias("content"), (F.lit(0.8) - F.lit(0.2) * F.col("d")).alias("score"), F.lit("path").alias("type"), F.struct(F.lit(1).alias("source"), "d", "rk", F.lit(1).alias("kind"), "edge").alias("ord"))

@@ -26,12 +26,21 @@ def neighbours(hits: DataFrame, messages: DataFrame, salts: int = 8) -> DataFram
     return near.select("hit", "seq", "role", "content").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= NEIGHBOURS)
 
 
+LATEST = 128
+
+
 def merge(found: DataFrame, k: int) -> DataFrame:
     """One row per id of chunks (id, content, score, type, ord): the first in order gives content and type, later ones are folded into its score
-    one after the other; the k best remain."""
-    rows = F.sort_array(F.collect_list(F.struct("ord", "score")))
-    folded = F.aggregate(rows, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["score"]).otherwise(a * KEEP + x["score"] * ADD))
-    merged = found.groupBy("id").agg(folded.alias("score"), F.min_by("content", "ord").alias("content"), F.min_by("type", "ord").alias("type"), F.min("ord").alias("ord"))
+    one after the other; the k best remain.
+
+    Folding is a sum with weights that fall by KEEP for each later chunk: what lies before the last LATEST chunks of an id weighs less than 1e-19 together and can't
+    change a double, so each task passes on at most LATEST rows per id, and no id is gathered in one row."""
+    whole = found.groupBy("id").agg(F.count("*").alias("n"), F.min_by("content", "ord").alias("content"), F.min_by("type", "ord").alias("type"), F.min("ord").alias("ord"))
+    last = W.partitionBy("id").orderBy(F.desc("ord"))
+    tail = found.select("id", "ord", "score", F.row_number().over(last).alias("i")).filter(F.col("i") <= LATEST)
+    weight = F.pow(F.lit(KEEP), F.col("i") - 1) * F.when(F.col("i") == F.col("n"), 1.0).otherwise(ADD)
+    folded = tail.join(whole.select("id", "n"), "id").groupBy("id").agg(F.sum(F.col("score") * weight).alias("score"))
+    merged = whole.join(folded, "id").select("id", "score", "content", "type", "ord")
     return merged.orderBy(F.desc(F.round("score", 9)), "ord").limit(k)
 
 

@@ -73,13 +73,17 @@ def _best(batches: Iterator, queries: list, k: int) -> Iterator:
 
 
 class VectorIndex:
-    """An index over rows (id, v): add, get, size, clear, search. Of a repeated id the first vector counts."""
+    """An index over rows (id, v): add, get, size, clear, search. Of a repeated id the vector added first counts, of those added at once the smallest."""
 
     def __init__(self, rows: DataFrame):
-        self._schema, self.rows = rows.select("id", "v").schema, rows.select("id", "v").dropDuplicates(["id"])
+        self._schema, self.rows = rows.select("id", "v").schema, self._single(rows)
+
+    @staticmethod
+    def _single(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.min("v").alias("v"))
 
     def add(self, rows: DataFrame) -> None:
-        self.rows = self.rows.unionByName(rows.select("id", "v").dropDuplicates(["id"]).join(self.rows, "id", "left_anti"))
+        self.rows = self.rows.unionByName(self._single(rows).join(self.rows, "id", "left_anti"))
 
     def get(self, id_) -> list[float] | None:
         row = self.rows.filter(F.col("id") == id_).first()

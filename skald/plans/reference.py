@@ -66,14 +66,26 @@ def messages_by_session(spark: SparkSession, d: str) -> DataFrame:
     return history.with_history(rows, "session_id", ["ord", "seq"], 0, lambda w: {}).select("session_id", "seq", "id", F.col("_n").alias("position"))
 
 
-@query(sql="SELECT DISTINCT id, session_id, description, timestamp FROM decisions WHERE NOT coalesce(superseded, FALSE)")
+def _placed(rows: DataFrame, newest_first: bool) -> DataFrame:
+    at = F.coalesce("timestamp", F.lit(""))
+    w = W.partitionBy("session_id").orderBy(at.desc() if newest_first else at, *[F.coalesce(c, F.lit("")) for c in rows.columns if c not in ("timestamp", "session_id")])
+    return rows.withColumn("position", F.row_number().over(w).cast("long"))
+
+
+@query(sql="""SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, ''), coalesce(id, ''), coalesce(description, '')) AS position
+    FROM (SELECT DISTINCT id, session_id, description, timestamp FROM decisions WHERE NOT coalesce(superseded, FALSE)) x""")
 def active_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "decisions").filter(~F.coalesce("superseded", F.lit(False))).select("id", "session_id", "description", "timestamp").distinct()
+    """Oldest first in each session."""
+    rows = read_table(spark, d, "decisions").filter(~F.coalesce("superseded", F.lit(False))).select("id", "session_id", "description", "timestamp").distinct()
+    return _placed(rows, False)
 
 
-@query(sql="SELECT DISTINCT id, session_id, superseded, coalesce(corrected_to, '') AS corrected_to, reason, timestamp FROM tombstones")
+@query(sql="""SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, '') DESC, coalesce(id, ''), coalesce(superseded, ''), corrected_to, coalesce(reason, '')) AS position
+    FROM (SELECT DISTINCT id, session_id, superseded, coalesce(corrected_to, '') AS corrected_to, reason, timestamp FROM tombstones) x""")
 def tombstones(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "tombstones").select("id", "session_id", "superseded", F.coalesce("corrected_to", F.lit("")).alias("corrected_to"), "reason", "timestamp").distinct()
+    """Newest first in each session."""
+    rows = read_table(spark, d, "tombstones").select("id", "session_id", "superseded", F.coalesce("corrected_to", F.lit("")).alias("corrected_to"), "reason", "timestamp").distinct()
+    return _placed(rows, True)
 
 
 @query(sql=f"""SELECT m.session_id, m.messages, coalesce(dd.decisions, 0) AS decisions, coalesce(tt.tombstones, 0) AS tombstones, (SELECT count(DISTINCT id) FROM entities) AS entities
@@ -188,6 +200,27 @@ def extract_decisions_messages(spark: SparkSession, d: str) -> DataFrame:
     return extraction.decisions(messages(spark, d)).select("session_id", "seq", F.col("pos").cast("long").alias("pos"), "description")
 
 
+_WITH_TEXT = f"(SELECT * FROM {FIRST} f WHERE content IS NOT NULL)"
+
+
+@query(sql=exploded_sql("session_id, seq", _WITH_TEXT, T.ENTITIES, "entity"))
+def extract_entities_messages(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.entities(messages(spark, d)).select("session_id", "seq", F.col("pos").cast("long").alias("pos"), "entity")
+
+
+@query(sql=exploded_sql("session_id, seq", _WITH_TEXT, T.CORRECTIONS, "superseded"))
+def extract_corrections_messages(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.corrections(messages(spark, d)).select("session_id", "seq", F.col("pos").cast("long").alias("pos"), "superseded")
+
+
+@query(sql=f"""SELECT session_id, seq, array_to_string({caught(T.ENTITIES)}, '|') AS entities, array_to_string({caught(T.DECISIONS)}, '|') AS decisions, array_to_string({caught(T.CORRECTIONS)}, '|') AS corrections
+    FROM {_WITH_TEXT} m""")
+def structure_messages(spark: SparkSession, d: str) -> DataFrame:
+    """All three of each message at once."""
+    rows = extraction.structure(messages(spark, d).filter("content is not null"))
+    return rows.select("session_id", "seq", *[F.array_join(F.col(f"structure.{k}"), "|").alias(k) for k in ("entities", "decisions", "corrections")])
+
+
 SIGHTINGS = exploded_sql("ts, seq", EVENTS, T.ENTITIES, "entity")
 
 
@@ -198,6 +231,15 @@ def entities_upsert(spark: SparkSession, d: str) -> DataFrame:
     return extraction.upsert(extraction.entities(msg_events(spark, d)).withColumn("ts", F.col("seq")))
 
 
+_MESSAGE_SIGHTINGS = exploded_sql("coalesce(timestamp, '') AS ts, seq", _WITH_TEXT, T.ENTITIES, "entity")
+
+
+@query(sql=f"""SELECT entity AS id, 'extracted' AS type, entity AS value, arg_min(ts, (ts, seq, pos)) AS first_seen, arg_max(ts, (ts, seq, pos)) AS last_seen, count(*) AS reference_count
+    FROM ({_MESSAGE_SIGHTINGS}) s GROUP BY entity""")
+def entities_upsert_messages(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.upsert(extraction.entities(messages(spark, d)).withColumn("ts", F.col("ord")))
+
+
 @query(sql=f"SELECT DISTINCT m.session_id, e.id FROM entities e JOIN (SELECT DISTINCT session_id, entity_ids FROM {FIRST} f) m ON m.entity_ids ILIKE '%' || e.id || '%'")
 def session_entities_like(spark: SparkSession, d: str) -> DataFrame:
     return extraction.session_entities(messages(spark, d, "entity_ids"), read_table(spark, d, "entities"))
@@ -244,6 +286,31 @@ def context_frame_small(spark: SparkSession, d: str) -> DataFrame:
     return _frames(spark, d, 300)
 
 
+_FRAME_ROWS = f"(SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(timestamp, ''), seq) AS place FROM {FIRST} g)"
+
+
+def message_frame_sql(budget: int) -> str:
+    dec = exploded_sql("session_id, seq, place", f"(SELECT * FROM {_FRAME_ROWS} h WHERE content IS NOT NULL)", T.DECISIONS, "description")
+    ent = exploded_sql("session_id, seq, place", f"(SELECT * FROM {_FRAME_ROWS} h WHERE content IS NOT NULL)", T.ENTITIES, "entity")
+    ceil = lambda c: f"coalesce(CAST(ceil({units(c)} / 4.0) AS BIGINT), 0)"
+    return f"""WITH m AS (SELECT session_id, place, chr(10) || coalesce(role, '') || ': ' || substring(coalesce(content, ''), 1, 200) AS line
+        FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place DESC) AS r FROM {_FRAME_ROWS} e) x WHERE r <= 10),
+      d AS (SELECT session_id, '## Decisions' || chr(10) || string_agg('- ' || description, chr(10) ORDER BY place, pos) AS s FROM ({dec}) q GROUP BY 1),
+      e AS (SELECT session_id, '## Entities' || chr(10) || string_agg('- ' || entity || ' (extracted)', chr(10) ORDER BY o) AS s FROM (SELECT session_id, entity, min(place * 10 + pos) AS o FROM ({ent}) q GROUP BY 1, 2) z GROUP BY 1),
+      s AS (SELECT m.session_id, place, line, e.s AS es, d.s AS ds, {ceil("concat_ws(chr(10), e.s, d.s)")} + sum({ceil("line")}) OVER (PARTITION BY m.session_id ORDER BY place) AS used
+        FROM m LEFT JOIN d ON d.session_id = m.session_id LEFT JOIN e ON e.session_id = m.session_id)
+      SELECT session_id, concat_ws(chr(10) || chr(10), any_value(es), any_value(ds), '## Recent Messages' || string_agg(line, '' ORDER BY place DESC) FILTER (WHERE used <= {budget})) AS frame FROM s GROUP BY session_id"""
+
+
+@query(sql=message_frame_sql(2000))
+def context_frame_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Of every session of the message table, in the order of timestamps as written."""
+    m = messages(spark, d)
+    ds = extraction.decisions(m).select("session_id", "ord", "seq", "pos", "description")
+    es = extraction.entities(m).groupBy("session_id", F.col("entity").alias("value")).agg(F.min(F.struct("ord", "seq", "pos")).alias("o")).withColumn("type", F.lit("extracted"))
+    return frame.context_frames(m, ds, es, 2000)
+
+
 @query(sql=f"SELECT doc_id, CAST(ceil({units('text')} / 4.0) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").filter("text is not null").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
@@ -320,6 +387,49 @@ def graph_undirected_paths(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("start", "end", F.col("hops").cast("long").alias("hops")).agg(F.count("*").alias("ways"))
 
 
+@query(sql=f"""WITH both_ AS (SELECT entity_from AS a, entity_to AS b, id AS e FROM entity_relations UNION ALL SELECT entity_to, entity_from, id FROM entity_relations WHERE entity_from <> entity_to),
+    one AS (SELECT s.id AS st, b AS en, [e] AS edges FROM ({_START}) s JOIN both_ ON a = s.id), two AS (SELECT st, b AS en, list_append(edges, e) AS edges FROM one JOIN both_ ON a = en WHERE NOT list_contains(edges, e))
+    SELECT st AS start, en AS "end", len(edges) AS hops, array_to_string(edges, '-') AS edges FROM (SELECT * FROM one UNION ALL SELECT * FROM two) x ORDER BY len(x.edges), st, x.edges LIMIT 20""")
+def graph_first_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty, as the text for a graph database asks for; the limit is part of the query."""
+    e, r = read_table(spark, d, "entities"), read_table(spark, d, "entity_relations")
+    found = graph.undirected_paths(r, e.filter("type = 'table'").select("id"), 2)
+    return found.select("start", "end", F.col("hops").cast("long").alias("hops"), F.array_join(F.col("edges").cast("array<string>"), "-").alias("edges"))
+
+
+@query(sql=f"""WITH RECURSIVE walk(id, d, rk) AS (SELECT id, 0, [id] FROM ({_START}) s UNION SELECT r.entity_to, w.d + 1, list_append(w.rk, lpad(r.id::VARCHAR, 20, '0')) FROM walk w JOIN entities e ON e.id = w.id
+      JOIN entity_relations r ON r.entity_from = w.id WHERE w.d < 2)
+    SELECT id, min(d)::INTEGER AS d, array_to_string(arg_min(rk, (d, rk)), '/') AS place FROM walk WHERE id IN (SELECT id FROM entities) GROUP BY id""")
+def graph_bfs_order(spark: SparkSession, d: str) -> DataFrame:
+    """Where each reached entity stands in the queue."""
+    return _reached(spark, d)[2].select("id", "d", F.array_join("rk", "/").alias("place"))
+
+
+@query(sql="""SELECT r.* FROM entity_relations r WHERE entity_from IN (SELECT entity_from FROM entity_relations WHERE id = 1) OR entity_to IN (SELECT entity_from FROM entity_relations WHERE id = 1)""")
+def relations_of_entity(spark: SparkSession, d: str) -> DataFrame:
+    """All relations of one entity, in either direction."""
+    r = read_table(spark, d, "entity_relations")
+    one = [x[0] for x in r.filter("id = 1").select("entity_from").collect()]  # id is unique
+    return r.filter(F.col("entity_from").isin(one) | F.col("entity_to").isin(one))
+
+
+@query(sql="SELECT replace('" + graph.traversal_text(["@"], 2).replace("'@'", "@").replace("'", "''") + "', '@', string_agg(chr(39) || id || chr(39), ', ' ORDER BY id)) AS text FROM (SELECT id FROM entities WHERE type = 'table') x")
+def graph_query_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text that asks a graph database for the ways from these entities."""
+    ids = read_table(spark, d, "entities").filter("type = 'table'").select("id")
+    before, after = graph.traversal_text(["@"], 2).split("'@'")
+    quoted = F.concat(F.lit("'"), "id", F.lit("'"))
+    return ids.agg(F.concat(F.lit(before), F.array_join(F.sort_array(F.collect_list(quoted)), ", "), F.lit(after)).alias("text"))  # the text names each entity of one type
+
+
+@query(sql=f"""SELECT seq, round(c, 5) AS score FROM (SELECT seq, CASE WHEN isnan({_COS}) THEN 0 ELSE {_COS} END AS c FROM (SELECT seq, embedding FROM {FIRST} m
+    WHERE session_id = 'ses_live_main' AND embedding IS NOT NULL) a, {_ONE} b) x ORDER BY c DESC, seq LIMIT 10""")
+def search_similar(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of one session nearest to a vector."""
+    m = messages(spark, d, "embedding").filter("session_id = 'ses_live_main' and embedding is not null")
+    return vectors.top_k(m, _query_vector(spark, d), 10, "seq").select("seq", F.round("score", 5).alias("score"))
+
+
 @query(sql="""WITH f AS (SELECT event_type AS id, event_id AS ord, value / 1000 AS s, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
     SELECT id, round(sum(s * CASE WHEN k = 1 THEN pow(0.7::DOUBLE, n - 1) ELSE 0.3::DOUBLE * pow(0.7::DOUBLE, n - k) END), 6) AS score FROM f WHERE k <= n GROUP BY id""")
 def merge_rerank(spark: SparkSession, d: str) -> DataFrame:

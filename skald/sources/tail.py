@@ -1,11 +1,12 @@
 """A log that grows: a data source whose offsets are byte positions after the last whole line.
 
 Batch reads cut the file into byte ranges that begin and end at line ends. The stream hands out what was appended since, never a line without its end; a
-file that became shorter is read anew from its start, as a new generation of offsets. Lines keep their byte offset as `offset`."""
+file that became shorter, or whose first bytes changed, is read anew from its start, as a new generation of offsets. Lines keep their byte offset as `offset`."""
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -56,6 +57,18 @@ def read_lines(path: str, part: ByteRange, whole: bool = False) -> Iterator[tupl
             yield part.base + at, line.rstrip(b"\n").decode("utf-8", "replace").rstrip("\r")
 
 
+HEAD = 1024
+
+
+def head_mark(path: str, length: int) -> int:
+    """Checksum of the first bytes, by which a replaced file is told from one that grew."""
+    try:
+        with open(path, "rb") as f:
+            return zlib.crc32(f.read(length))
+    except FileNotFoundError:
+        return 0
+
+
 class LogReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -70,20 +83,21 @@ class LogReader(DataSourceReader):
 
 class LogStream(DataSourceStreamReader):
     def __init__(self, path: str):
-        self.path, self.base, self.position = path, 0, 0
+        self.path, self.base, self.position, self.head = path, 0, 0, [0, 0]
 
     def initialOffset(self) -> dict:
-        return {"base": 0, "position": 0}
+        return {"base": 0, "position": 0, "head": [0, 0]}
 
     def latestOffset(self) -> dict:
         end = last_line_end(self.path)
-        if end < self.position:
-            self.base += self.position  # the file was replaced by a shorter one
+        if end < self.position or head_mark(self.path, self.head[0]) != self.head[1]:
+            self.base += self.position  # the file was replaced
         self.position = end
-        return {"base": self.base, "position": end}
+        self.head = [min(end, HEAD), head_mark(self.path, min(end, HEAD))]
+        return {"base": self.base, "position": end, "head": self.head}
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        self.base, self.position = end["base"], end["position"]
+        self.base, self.position, self.head = end["base"], end["position"], end.get("head", [0, 0])
         begin = start["position"] if start["base"] == end["base"] else 0
         cuts = [*range(begin, end["position"], PART_BYTES), end["position"]]
         return [ByteRange(a, b, end["base"]) for a, b in zip(cuts, cuts[1:]) if b > a]

@@ -116,6 +116,15 @@ def test_shorter_file_is_read_anew(spark, tmp_path):
     assert StateStore(spark, str(state)).read("messages").filter(F.col("id") == "new").count() == 1
 
 
+def test_longer_replacement_is_read_anew(spark, tmp_path):
+    log, state = tmp_path / "log.jsonl", tmp_path / "state"
+    log.write_text("\n".join(lines(5)) + "\n")
+    run(spark, log, state)
+    log.write_text("".join(json.dumps({"id": f"n{i}", "role": "user", "content": "x", "timestamp": "2027"}) + "\n" for i in range(60)))
+    run(spark, log, state)
+    assert StateStore(spark, str(state)).read("messages").filter("id like 'n%'").count() == 60
+
+
 def test_detection(spark, tmp_path):
     good = lines(1)[0]
     assert detect([good, "x"]) and not detect([]) and not detect(["{}", good])
