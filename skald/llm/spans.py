@@ -227,16 +227,15 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, max_broadcast
 
         for ids, group in _grouped(batches):
             p = Pieces(group, window)
-            d, u = p.digests(p.begin, p.end).view(np.int64), np.asarray(ids, np.int64)[p.owner]
+            d = p.digests(p.begin, p.end).view(np.int64)
             if every:
-                yield pd.DataFrame({"d": d, "u": u})
+                yield pd.DataFrame({"d": d, "u": np.asarray(ids, np.int64)[p.owner]})
                 continue
-            values, low, high, _ = extremes(d, u)
-            several = low != high
-            yield pd.DataFrame({"d": np.concatenate([values, values[several]]), "u": np.concatenate([low, high[several]])})
+            # a text lies in one piece, so a digest of two pieces is one of two texts; those that two texts of a piece have are told twice
+            values, low, high, _ = extremes(d, p.owner)
+            yield pd.DataFrame({"d": np.concatenate([values, values[low != high]])})
 
-    pairs = texts.mapInPandas(chunks, "d bigint, u bigint")
-    shared = cut(pairs.groupBy("d").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b").select("d"))
+    shared = cut(texts.mapInPandas(chunks, "d bigint").groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"))
     if shared.count() <= max_broadcast:
         # its size is checked just above: at most 8 bytes * max_broadcast
         import numpy as np
