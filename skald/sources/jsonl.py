@@ -75,12 +75,16 @@ def detect_adapter(spark: SparkSession, path: str) -> str:
     return next((name for name in ADAPTERS if detect([x for x in first if x.strip()])), "jsonl")
 
 
-def read_log(spark: SparkSession, path: str, session_id: str, adapter: str = "jsonl") -> DataFrame:
-    """All messages of a log, first seen first; seq is the byte-ordered line number, the first of a repeated id counts."""
-    from .tail import register
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(offset, value) of a text file on any file system, read in the JVM. offset grows with the place in the file: the first byte of the line's split plus the number
+    of lines before it in the split, which is smaller than the split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_mid"))
+    first = rows.groupBy("_at").agg(F.min("_mid").alias("_first"))  # a row per split
+    return rows.join(first, "_at").select((F.col("_at") + F.col("_mid") - F.col("_first")).alias("offset"), "value")
+
 
-    register(spark)
-    lines = spark.read.format("skald_log").load(path)
-    rows = ADAPTERS[adapter](lines.select(F.col("offset").alias("seq"), "value")).withColumn("session_id", F.lit(session_id))
+def read_log(spark: SparkSession, path: str, session_id: str, adapter: str = "jsonl") -> DataFrame:
+    """All messages of a log, first seen first; seq is ordered like the lines, the first of a repeated id counts."""
+    rows = ADAPTERS[adapter](numbered_lines(spark, path).withColumnRenamed("offset", "seq")).withColumn("session_id", F.lit(session_id))
     first = rows.groupBy("id").agg(F.min("seq").alias("seq"))
     return rows.join(first, ["id", "seq"], "left_semi")

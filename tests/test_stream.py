@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skald.api import Conversation
 from skald.operators import importance
-from skald.sources.jsonl import detect, detect_adapter, read_log
+from skald.sources.jsonl import detect, detect_adapter, numbered_lines, read_log
 from skald.sources.store import StateStore
 from skald.sources.tail import ByteRange, last_line_end, read_lines
 from skald.streaming.pipeline import follow, index_batch
@@ -36,6 +36,18 @@ def test_lines_of_byte_ranges(tmp_path):
     assert last_line_end(str(path)) == size - len("partial") and last_line_end(str(tmp_path / "none")) == 0
 
 
+def test_numbered_lines_of_several_splits(spark, tmp_path):
+    path = tmp_path / "log"
+    path.write_text("".join(f"line {i} {'x' * (i % 50)}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = sorted((r.offset, r.value) for r in numbered_lines(spark, str(path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [int(v.split()[1]) for _, v in rows] == list(range(3000)) and len({o for o, _ in rows}) == 3000
+
+
 def run(spark, log, state):
     q = follow(spark, str(log), str(state), "s1", mode="catchup")
     q.awaitTermination()
