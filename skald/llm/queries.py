@@ -80,7 +80,7 @@ SQL: dict[str, str] = {
       q AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
       h AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM q) x)
       SELECT DISTINCT doc_id, item_id FROM g JOIN h ON g.g = h.g""",
-    "p9_found": """WITH w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300) x),
+    "p9_found": """WITH w AS (SELECT doc_id, i, md5_number(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300) x),
       s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
       m AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM w JOIN s ON s.h = w.h)
       SELECT doc_id, CAST(sum(least(300, coalesce(n - i, 300))) AS BIGINT) AS shared_chars FROM m GROUP BY doc_id""",
