@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import cut
 from ..functions import text as T
 from . import graph, vectors
 
@@ -49,7 +50,8 @@ def hybrid(messages: DataFrame, entities: DataFrame, relations: DataFrame, query
     hits = vectors.top_k(messages.filter("embedding is not null"), vector, 2 * k, "seq")
     place = F.row_number().over(W.orderBy(F.desc("score"), "seq"))  # over 2 k rows
     rk = F.array(F.lpad(place.cast("string"), 20, "0"))
-    hits = hits.select("id", "content", "score", F.lit("message").alias("type"), F.struct(F.lit(0).alias("source"), F.lit(0).alias("d"), rk.alias("rk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("edge")).alias("ord"), F.col("seq").alias("hit"), "us")
+    # 2 k rows, asked for several times below
+    hits = cut(hits).select("id", "content", "score", F.lit("message").alias("type"), F.struct(F.lit(0).alias("source"), F.lit(0).alias("d"), rk.alias("rk"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("edge")).alias("ord"), F.col("seq").alias("hit"), "us")
     start = graph.query_entities(entities, query).select("id", F.col("id").alias("ord"))
     parts = graph.chunks(entities, relations, graph.bfs(entities, relations, start, depth))
     best = merge(hits.select("id", "content", "score", "type", "ord").unionByName(parts), k)
