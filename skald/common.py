@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,6 +22,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    ship(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -101,6 +103,7 @@ def small_or_none(df: DataFrame, max_rows: int) -> list | None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Use the cores where the input came as few splits (few or single row groups): with less than one for two cores, a shuffle of the rows pays."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
@@ -111,12 +114,14 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(), "skald.zip")
+    folder = tempfile.mkdtemp()  # on the driver, which hands the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "skald.zip")
     with zipfile.ZipFile(target, "w") as z:
-        for folder, _, files in os.walk(root):
+        for at, _, files in os.walk(root):
             for f in files:
                 if f.endswith(".py"):
-                    full = os.path.join(folder, f)
+                    full = os.path.join(at, f)
                     z.write(full, os.path.join("skald", os.path.relpath(full, root)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import ship
 from ..functions import text as T
 
 
@@ -56,6 +57,7 @@ def session_entities(messages: DataFrame, entities: DataFrame, exact: bool = Fal
     if exact:
         own = rows.select("session_id", F.explode(F.from_json("entity_ids", "array<string>")).alias("id")).distinct()
         return own.join(entities.select("id").distinct(), "id", "left_semi").select("session_id", "id")
+    ship(messages.sparkSession)
     ids = entities.select("id").filter("id is not null").distinct()
     blocks = max(1, -(-ids.count() // block))
     texts = rows.distinct()

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import ship
+
 ROLES = ("system", "user", "assistant", "tool")
 CSV_FIELDS = ("id", "role", "content", "timestamp", "model", "session_id")
 JSON_REQUIRED = {"id": "string", "role": "role", "content": "string", "timestamp": "string"}
@@ -305,6 +307,7 @@ def _judged(rows: DataFrame) -> DataFrame:
             frame["position"] = frame["position"].astype("Int32")
             yield frame
 
+    ship(rows.sparkSession)
     return rows.select("line_id", "fmt", "raw").mapInPandas(run, OUTPUT)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import ship
+
 
 def cosine(a: Column, b: Column) -> Column:
     def dot(x, y):
@@ -30,6 +32,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4_0
 
     Queries are sent to the tasks in blocks of at most about `block`; each task keeps k candidates per query with a matrix product."""
     spark = vectors.sparkSession
+    ship(spark)
     many = queries.count()
     blocks = max(1, -(-many // block))
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).filter("id is not null and v is not null")
