@@ -9,7 +9,7 @@ sampled position, and overlapping hits are merged to removal spans.
 Words are maximal runs of letters and digits, compared in lower case. Defined results: null or blank texts and passages, and
 passages shorter than min_words, give nothing; repeated documents or items each count; a text longer than a shard is indexed in
 pieces that overlap by OVERLAP - 1 words, OVERLAP being the longest phrase an index answers; extra columns are ignored. Scale: one pass over the text, without a
-shuffle; passages become blocks of at most about BLOCK_CHARS on the executors, and the driver holds one block, as arrays of word numbers, at a
+shuffle; a task writes row groups of about 32 MB and reads shards back some MB at a time, so its memory doesn't follow the number of shards; passages become blocks of at most about BLOCK_CHARS on the executors, and the driver holds one block, as arrays of word numbers, at a
 time to broadcast it; a block costs one pass over the index.
 """
 
@@ -33,6 +33,8 @@ BLOCK_CHARS = 16_000_000
 WORD = re.compile(r"[^\W_]+")
 SPANS = "doc_id bigint, item_id bigint, spans array<struct<begin: int, end: int>>"
 SHARD = "words bigint, shard binary"
+# A shard has some MB: the writer looks at its buffers after each row, instead of after the first 100, so that a task holds one row group whatever its number of shards.
+WRITING = {"compression": "zstd", "parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 class Passages:
@@ -253,7 +255,7 @@ def build_index(documents: DataFrame, path: str | None = None, shard_words: int
     """Writes the index of documents (doc_id, text) and gives its path, a new one in the shared folder by default."""
     path = path or fresh_dir(documents.sparkSession, "fm-index")
     texts = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"))
-    texts.mapInPandas(lambda batches: _shards(batches, shard_words), SHARD).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    texts.mapInPandas(lambda batches: _shards(batches, shard_words), SHARD).write.mode("overwrite").options(**WRITING).parquet(path)
     return path
 
 
@@ -323,20 +325,18 @@ def search_index(spark: SparkSession, path: str, items: DataFrame, min_words: in
 
     if min_words > OVERLAP:
         raise ValueError(f"the index answers phrases of at most {OVERLAP} words")
-    shards = spark.read.schema(SHARD).parquet(path).select("shard")
+    # as pickled rows, which go to Python some MB at a time: an Arrow batch of shards takes 64 MB and more outside the heap of each task
+    shards = spark.read.schema(SHARD).parquet(path).select("shard").rdd
     found = spark.createDataFrame([], SPANS)
     for r in passage_blocks(items, block_chars).toLocalIterator():  # one block at a time
         shared = spark.sparkContext.broadcast(pickle.loads(r["passages"]))
-        found = found.unionByName(shards.mapInPandas(lambda batches, shared=shared: _search(batches, shared.value, min_words), SPANS))
+        found = found.unionByName(spark.createDataFrame(shards.mapPartitions(lambda rows, shared=shared: _search(rows, shared.value, min_words)), SPANS))
     return found
 
 
-def _search(batches: Iterator, passages: Passages, min_words: int) -> Iterator:
-    import pandas as pd
-
-    for batch in batches:
-        for data in batch["shard"]:
-            yield pd.DataFrame(Shard.from_bytes(data).hits(passages, min_words), columns=["doc_id", "item_id", "spans"])
+def _search(rows: Iterator, passages: Passages, min_words: int) -> Iterator:
+    for row in rows:
+        yield from Shard.from_bytes(row.shard).hits(passages, min_words)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:

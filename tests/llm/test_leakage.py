@@ -1,7 +1,10 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from skald.common import fresh_dir
 from skald.llm.leakage import FMIndex, Shard, build_index, find_leaks, search_index, suffix_array
@@ -96,3 +99,19 @@ def test_shards_as_bytes():
     shard = Shard.of([5, 6], [np.array([[0, 1], [2, 1]]), np.array([[3, 1]])], [np.array([1, 2]), np.array([2])], words)
     again = Shard.from_bytes(shard.to_bytes())
     assert again.vocabulary == ["a", "b"] and again.owners.tolist() == [5, 6] and (again.index.bwt == shard.index.bwt).all() and (again.index.samples == shard.index.samples).all()
+
+
+def test_row_groups_of_an_index_are_bounded_by_bytes(spark, tmp_path):
+    """80 shards of 1 MB from one task: fewer than the 100 rows after which the writer looks at its buffers by default."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    r = np.random.default_rng(3)
+    texts = [" ".join(x.tobytes().decode() for x in letters[r.integers(0, 36, (128, 8000))]) for _ in range(80)]
+    pq.write_table(pa.table({"doc_id": range(80), "text": texts}), tmp_path / "texts.parquet")
+    path = build_index(spark.read.parquet(str(tmp_path / "texts.parquet")), shard_words=128)
+    groups = []
+    for f in Path(path.removeprefix("file://")).glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups += [(meta.row_group(i).num_rows, meta.row_group(i).total_byte_size) for i in range(meta.num_row_groups)]
+    assert sum(n for n, _ in groups) == 80 and max(b for _, b in groups) < 64 << 20, groups
+    items = spark.createDataFrame([(1003, texts[3]), (1079, texts[79])], "item_id bigint, passage string")
+    assert {(x.doc_id, x.item_id) for x in search_index(spark, path, items).collect()} == {(3, 1003), (79, 1079)}
